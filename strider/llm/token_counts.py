@@ -38,9 +38,10 @@ from pyspark.sql import functions as F
 
 from .common import text_column
 
-#: Pre-tokens whose counts a worker remembers; beyond it they are worked out again.
+#: Pre-tokens in each of two generations that a worker remembers; what is in neither is worked out again.
 REMEMBERED = 400_000
 LONGEST_REMEMBERED = 64
+PAIRS = 2_000_000
 
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -65,18 +66,17 @@ class PrefixCounter:
         merges = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
         self._merge = {(to_bytes(x), to_bytes(y)): k for k, (x, y) in enumerate(merges)}
         whole = [b for b in self._vocab if self._merged(b) == [b]]
-        self._by_length: dict[int, set[bytes]] = {}
-        for b in whole:
-            self._by_length.setdefault(len(b), set()).add(b)
-        self._longest = max(self._by_length)
         self._ends: dict[bytes, tuple[int, ...]] = {}
         for b in whole:  # lengths of the tokens that end with these two bytes
-            self._ends.setdefault(b[-2:], set()).add(len(b))
+            self._ends.setdefault(b[-2:], {1}).add(len(b))
         self._ends = {k: tuple(sorted(v, reverse=True)) for k, v in self._ends.items()}
-        self._tokens = set(whole)
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
-        self._known: dict[str, tuple[int, bytes]] = {}
+        self._names = whole
+        self._tokens = {b: k for k, b in enumerate(whole)}
+        self._pairs: dict[int, bool] = {}
+        self._known: dict[str, tuple[int, bytes | list[int]]] = {}
+        self._older: dict[str, tuple[int, bytes | list[int]]] = {}
         self._split = regex.compile(SPLIT)
+        self._runs = regex.compile(r"\s\s+")
         self._marks = regex.compile("|".join(map(regex.escape, self._special))) if self._special else None
 
     def _merged(self, data: bytes) -> list[bytes]:
@@ -98,32 +98,40 @@ class PrefixCounter:
             got = out
         return got
 
-    def _stays(self, a: bytes, b: bytes) -> bool:
-        known = self._pairs.get((a, b))
-        if known is None:
-            known = self._merged(a + b) == [a, b]
-            if len(self._pairs) > 2_000_000:
-                self._pairs.clear()
-            self._pairs[a, b] = known
+    def _stays(self, a: int, b: int) -> bool:
+        if len(self._pairs) > PAIRS:
+            self._pairs.clear()
+        two = [self._names[a], self._names[b]]
+        known = self._pairs[a << 20 | b] = self._merged(b"".join(two)) == two
         return known
 
     def piece(self, data: bytes) -> list[int]:
         """Counts at the ends of all byte prefixes of one pre-token, 0 first."""
-        count, last = [0], [b""]
-        tokens, stays, ends = self._tokens, self._stays, self._ends
+        count, last = [0], [0]
+        tokens, pairs, ends, one = self._tokens.get, self._pairs.get, self._ends.get, (1,)
+        grown = 0
         for i in range(1, len(data) + 1):
-            if i > 1:
-                lengths = {*ends.get(data[i - 2 : i], ()), 1}
-            else:
-                lengths = (1,)
-            for n in sorted(lengths, reverse=True):
+            # Only one length can be right, so the likeliest goes first: the last token and one more byte.
+            grown += 1
+            t = tokens(data[i - grown : i])
+            if t is not None and (grown == i or pairs(last[i - grown] << 20 | t)):
+                count.append(count[i - grown] + 1)
+                last.append(t)
+                continue
+            for n in ends(data[i - 2 : i], one) if i > 1 else one:
                 if n > i:
                     continue
-                t = data[i - n : i]
-                if t in tokens and (n == i or stays(last[i - n], t)):
-                    count.append(count[i - n] + 1)
-                    last.append(t)
-                    break
+                t = tokens(data[i - n : i])
+                if t is None:
+                    continue
+                if n < i:
+                    stays = pairs(last[i - n] << 20 | t)
+                    if not (self._stays(last[i - n], t) if stays is None else stays):
+                        continue
+                count.append(count[i - n] + 1)
+                last.append(t)
+                grown = n
+                break
             else:
                 raise AssertionError("no token ends here")
         return count
@@ -144,20 +152,18 @@ class PrefixCounter:
         return counts[-1], (bytes(out) if counts[-1] < 256 and max(out) < 256 else out)
 
     def _of(self, piece: str) -> tuple[int, bytes | list[int]]:
-        got = self._known.get(piece)
-        if got is None:
-            got = self._chars(piece)
-            if len(piece) <= LONGEST_REMEMBERED:
-                if len(self._known) >= REMEMBERED:
-                    self._known.clear()
-                self._known[piece] = got
+        got = self._known.get(piece) or self._older.pop(piece, None) or self._chars(piece)
+        if len(piece) <= LONGEST_REMEMBERED:
+            if len(self._known) >= REMEMBERED:
+                self._known, self._older = {}, self._known
+            self._known[piece] = got
         return got
 
     def _ordinary(self, text: str) -> np.ndarray:
         """Counts after each character of a text without special tokens."""
         pieces = self._split.findall(text)
-        known = self._known
-        got = [known.get(p) or self._of(p) for p in pieces]
+        known, of = self._known.get, self._of
+        got = [known(p) or of(p) for p in pieces]
         if not got:
             return np.zeros(0, np.int64)
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -169,18 +175,9 @@ class PrefixCounter:
             inner = np.concatenate([np.frombuffer(g[1], np.uint8) if isinstance(g[1], bytes) else np.array(g[1], np.int64) for g in got]).astype(np.int64)
         out = inner + np.repeat(before, lengths)
         # Where a prefix ends in white space: that run by itself, after what stands before it.
-        first = 0
-        for k, p in enumerate(pieces):
-            if p[0].isspace() and (k and pieces[k - 1][-1].isspace()):
-                start = first
-                while start and text[start - 1].isspace():
-                    start -= 1
-                stop = first
-                while stop < len(text) and text[stop].isspace():
-                    stop += 1
-                base = int(out[start - 1]) if start else 0
-                out[start:stop] = base + np.asarray([*self._of(text[start:stop])[1]], np.int64)
-            first += len(p)
+        for m in self._runs.finditer(text):
+            base = int(out[m.start() - 1]) if m.start() else 0
+            out[m.start() : m.end()] = base + np.asarray([*self._of(m[0])[1]], np.int64)
         return out
 
     def counts(self, text: str) -> np.ndarray:
