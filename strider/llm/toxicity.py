@@ -81,29 +81,37 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.weights[self.numbers(raw)].sum() + self.bias, -40, 40))))
 
 
-def _dense(rows: list[list[int]], n: int) -> np.ndarray:
-    x = np.zeros((len(rows), n), np.float32)
-    for k, r in enumerate(rows):
-        x[k, r] = 1
-    return x
+class Rows:
+    """Rows of feature numbers, as one flat list."""
 
+    def __init__(self, rows: list[list[int]], width: int):
+        self.n, self.width = len(rows), width
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.col = np.fromiter((k for r in rows for k in r), np.int64, len(self.row))
 
-def train(p: np.ndarray, u: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.col], self.n)
+
+    def across(self, d: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, d[self.row], self.width)
+
+
+def train(p: Rows, u: Rows, prior: float, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that lower the non-negative risk, by Adam over whole batches."""
-    w, b = np.zeros(p.shape[1]), -1.0
+    w, b = np.zeros(p.width), -1.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -40, 40)))
     loss = lambda g: np.logaddexp(0, -g)
     for t in range(1, steps + 1):
-        gp, gu = p @ w + b, u @ w + b
+        gp, gu = p.times(w) + b, u.times(w) + b
         rest = loss(-gu).mean() - prior * loss(-gp).mean()
-        dp, du = -prior * sigmoid(-gp) / len(p), sigmoid(gu) / len(u)
-        back = -prior * sigmoid(gp) / len(p)
+        dp, du = -prior * sigmoid(-gp) / p.n, sigmoid(gu) / u.n
+        back = -prior * sigmoid(gp) / p.n
         if rest >= 0:
             dp = dp + back
         else:
             dp, du = -back, -du
-        grad = np.append(p.T @ dp + u.T @ du + decay * w, dp.sum() + du.sum())
+        grad = np.append(p.across(dp) + u.across(du) + decay * w, dp.sum() + du.sum())
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -160,7 +168,7 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.numbers(x) for x in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["p", "k"])
 
     sample = rows.mapInArrow(numbers, "p int, k array<int>").collect()
-    side = lambda p: _dense([r[1] for r in sample if r[0] == p], len(model.index))
+    side = lambda p: Rows([r[1] for r in sample if r[0] == p], len(model.index))
     model.weights, model.bias = train(side(1), side(0), min(prior, 0.95))
     return model
 
