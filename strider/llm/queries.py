@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, quality, sharding, simhash, token_counts, toxicity
+from . import bpe, licenses, media, quality, sharding, simhash, token_counts, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,48 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    """The same scan over word strings instead of hashes."""
+    k, drift, coverage = licenses.K, licenses.DRIFT, licenses.COVERAGE
+    grams = [(label, len(w) - k + 1, q, " ".join(w[q : q + k])) for label, text in licenses.TEMPLATES.items() for w in [text.split()] for q in range(len(w) - k + 1)]
+    templates = ", ".join(f"('{a}', {n}, {q}, '{g}')" for a, n, q, g in grams)
+    bases = ", ".join(f"('{label}', '{phrase}', {len(phrase.split())})" for phrase, label in licenses.BASE.items())
+    between = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{between}') AS w FROM documents
+), p AS (
+  SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d
+), base AS (
+  SELECT r, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list_sort(list(DISTINCT label)) AS base
+  FROM p JOIN (VALUES {bases}) b(label, phrase, n) ON array_to_string(w[i : i + n - 1], ' ') = phrase GROUP BY r
+), hits AS (
+  SELECT r, label, grams, q, i AS p, i - q AS line
+  FROM p JOIN (VALUES {templates}) t(label, grams, q, gram) ON array_to_string(w[i : i + {k - 1}], ' ') = gram
+), steps AS (
+  SELECT *, CASE WHEN line - lag(line) OVER (PARTITION BY r, label ORDER BY line) <= {drift} THEN 0 ELSE 1 END AS new FROM hits
+), groups AS (
+  SELECT *, sum(new) OVER (PARTITION BY r, label ORDER BY line) AS span FROM steps
+), spans AS (
+  SELECT r, label, count(DISTINCT q) / max(grams)::DOUBLE AS share, max(p) - min(p) + 1 <= 2 * max(grams) + {k} AS wide FROM groups GROUP BY r, label, span
+), per AS (
+  SELECT r, max(share) AS share, list(DISTINCT label) FILTER (share >= {coverage} AND wide) AS more, count(*) FILTER (share >= {coverage} AND wide) AS n_spans FROM spans GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(array_to_string(base, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score, coalesce(n_spans, 0)::BIGINT AS n_spans
+FROM d LEFT JOIN base USING (r) LEFT JOIN per USING (r)"""
+
+
+ORACLES["op6_licenses"] = _license_sql()
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
