@@ -287,11 +287,13 @@ def leaked(benchmark: DataFrame, text_col: str = "text", item_col: str = "item_i
     """True where a text has a leak."""
     out: Column = F.lit(False)
     for block in item_blocks(benchmark, item_col, item_text):
-        items = Items(block, similarity)
+        out = out | _any_leak(Items(block, similarity))(text_column(text_col).cast("binary"))
+    return out
 
-        @F.pandas_udf(T.BooleanType())
-        def any_leak(raw: pd.Series, items: Items = items) -> pd.Series:
-            return pd.Series([bool(x) for x in items.leaks(raw.tolist())], dtype=bool)
 
-        out = out | any_leak(text_column(text_col).cast("binary"))
-    return out
+def _any_leak(items: Items):
+    @F.pandas_udf(T.BooleanType())
+    def any_leak(raw: pd.Series) -> pd.Series:
+        return pd.Series([bool(x) for x in items.leaks(raw.tolist())], dtype=bool)
+
+    return any_leak
