@@ -5,15 +5,15 @@ hashes of all rolling k-grams of words are joined with the k-gram positions of f
 notice texts. A hit at word p for template position q votes for the diagonal p - q.
 Diagonals of one document and template no further than `drift` apart merge (words put in
 or left out move an occurrence from one to the next), and a merged group is a span. It is
-verified if the share of the template's k-grams that it has reaches `coverage`; its
-label then joins the base labels. Base labels are those of the base phrases, wherever
+verified if the share of the template's words that its hits cover reaches `coverage` and it
+is at most twice the template's length; its label then joins the base labels. Base labels are those of the base phrases, wherever
 their words stand consecutively.
 
 The template table is fixed and has a few hundred rows, so broadcasting it is bounded. One
 pass over the texts gives both: rolling hashes are exploded, and a document keeps its first
 row and the rows that hit. After that, only those are shuffled.
 
-score is 1 if a base phrase occurs, else the largest share of a template's k-grams found in
+score is 1 if a base phrase occurs, else the largest share of a template's words covered in
 one span, verified or not, else 0.
 
 Null text counts as empty: no words, null places, empty labels. Rows are told apart by id
@@ -65,11 +65,11 @@ def _rolling(words: Column, k: int) -> Column:
 
 
 def _template_grams(df: DataFrame, templates: dict[str, str], k: int) -> DataFrame:
-    """label, grams (how many the template has), q and the gram's hash; one row for each position."""
-    rows = [(label, len(w) - k + 1, q, *w[q : q + k]) for label, text in templates.items() for w in [text.split()] for q in range(len(w) - k + 1)]
+    """label, size (the template's words), q and the gram's hash; one row for each position."""
+    rows = [(label, len(w), q, *w[q : q + k]) for label, text in templates.items() for w in [text.split()] for q in range(len(w) - k + 1)]
     names = [f"w{j}" for j in range(k)]
-    table = df.sparkSession.createDataFrame(rows, "label string, grams int, q int, " + ", ".join(f"{n} string" for n in names))
-    return table.select("label", "grams", "q", F.xxhash64(*names).alias("gram"))
+    table = df.sparkSession.createDataFrame(rows, "label string, size int, q int, " + ", ".join(f"{n} string" for n in names))
+    return table.select("label", "size", "q", F.xxhash64(*names).alias("gram"))
 
 
 def _base_places(words: Column, phrase: str) -> Column:
@@ -102,10 +102,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     by_line = Window.partitionBy(*same).orderBy("line")
     started = F.when(F.col("line") - F.lag("line").over(by_line) <= drift, 0).otherwise(1)
     grouped = hits.withColumn("new", started).withColumn("span", F.sum("new").over(by_line))
-    spans = grouped.groupBy(*kept, "label", "grams", "span").agg(F.countDistinct("q").alias("found"), F.min("p").alias("first"), F.max("p").alias("last"), F.count(F.lit(1)).alias("rows"))
-    share = F.col("found") / F.col("grams")
-    wide = (F.col("last") - F.col("first") + 1) <= 2 * F.col("grams") + k
-    verified = F.col("label").isNotNull() & (share >= coverage) & wide
+    spans = grouped.groupBy(*kept, "label", "size", "span").agg(F.collect_set("q").alias("found"), F.min("p").alias("first"), F.max("p").alias("last"), F.count(F.lit(1)).alias("rows"))
+    # a span has each template position once at most, so the sets are as small as the templates
+    covered = F.size(F.array_distinct(F.flatten(F.transform("found", lambda q: F.sequence(q, q + (k - 1))))))
+    share = covered / F.col("size")
+    verified = F.col("label").isNotNull() & (share >= coverage) & (F.col("last") - F.col("first") + k <= 2 * F.col("size"))
     per = spans.groupBy("doc_id", "own").agg(
         *(F.first(c).alias(c) for c in kept[2:]),
         F.sort_array(F.collect_set(F.when(verified, F.col("label")))).alias("more"),
