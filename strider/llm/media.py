@@ -56,7 +56,7 @@ def _zigzag() -> np.ndarray:
 
 _ZIGZAG = _zigzag()
 _PLACE = np.argsort(_ZIGZAG)
-_SCALE = 1 << 12
+_SCALE = 1 << 16
 _COS = np.array([[np.rint(_SCALE * (np.sqrt(0.125) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16)) for x in range(8)] for u in range(8)])
 
 
