@@ -22,4 +22,4 @@ def query(oracle: str | None = None):
     return take
 
 
-from . import quality, windows  # noqa: E402, F401  they register themselves
+from . import quality, windows, kinematics, geometry, metrics  # noqa: E402, F401  they register themselves
