@@ -35,9 +35,9 @@ def person_metrics(spark, sf_dir):
     return _person(spark, sf_dir, 0.05).select("clip", *(R(c).alias(c) for c in ("height", "margin", "mean_margin", "visible")))
 
 
-@query(views.sql(_PERSON.format(0.03) + " SELECT clip FROM pe WHERE height >= 0.30 AND margin >= -0.5 AND visible >= 0.0", "joints"))
+@query(views.sql(_PERSON.format(0.03) + " SELECT clip FROM pe WHERE height >= 0.15 AND margin >= 0.03 AND visible >= 0.80", "joints"))
 def visibility(spark, sf_dir):
-    return _person(spark, sf_dir, 0.03).where("height >= 0.30 AND margin >= -0.5 AND visible >= 0.0").select("clip")
+    return _person(spark, sf_dir, 0.03).where("height >= 0.15 AND margin >= 0.03 AND visible >= 0.80").select("clip")
 
 
 _STEP = "st AS (SELECT clip, frame, avg(sqrt((px - qx) ** 2 + (py - qy) ** 2 + (pz - qz) ** 2)) AS d FROM (SELECT *, lag(px) OVER w AS qx, lag(py) OVER w AS qy, lag(pz) OVER w AS qz FROM joints WINDOW w AS (PARTITION BY clip, j ORDER BY frame)) GROUP BY clip, frame)"
@@ -142,11 +142,11 @@ def trajectory_error(spark, sf_dir):
     return _errors(spark, sf_dir).groupBy("frame").agg(R(F.avg("d")).alias("d"), R(F.sqrt(F.avg(F.col("d") * F.col("d"))) * 100).alias("rmse"))
 
 
-@query(views.sql(_PERSON.format(0.05) + f", ls AS (SELECT clip, avg(d) AS loss FROM (SELECT clip, sqrt((0.01 * (j % 5)) ** 2 + (0.02 * (frame % 3)) ** 2 + (0.3 * abs(pz)) ** 2) AS d FROM joints) GROUP BY clip) SELECT clip, round(loss, 5) + 0.0 AS loss, round(CASE WHEN ok THEN 100 / (loss + 1) ELSE 0 END, 4) + 0.0 AS score FROM (SELECT clip, loss, height >= 0.30 AND visible >= 0.0 AS ok FROM pe JOIN ls USING (clip)) WHERE ok ORDER BY round(loss, 9), clip LIMIT 10", "joints"))
+@query(views.sql(_PERSON.format(0.05) + f", ls AS (SELECT clip, avg(d) AS loss FROM (SELECT clip, sqrt((0.01 * (j % 5)) ** 2 + (0.02 * (frame % 3)) ** 2 + (0.3 * abs(pz)) ** 2) AS d FROM joints) GROUP BY clip) SELECT clip, round(loss, 5) + 0.0 AS loss, round(CASE WHEN ok THEN 100 / (loss + 1) ELSE 0 END, 4) + 0.0 AS score FROM (SELECT clip, loss, height >= 0.15 AND visible >= 0.80 AS ok FROM pe JOIN ls USING (clip)) WHERE ok ORDER BY round(loss, 9), clip LIMIT 10", "joints"))
 def best_samples(spark, sf_dir):
     """The ten lowest losses among clips that pass the gate: a top-k report."""
     loss = _errors(spark, sf_dir).groupBy("clip").agg(F.avg("d").alias("loss"))
-    ok = F.when((F.col("height") >= 0.30) & (F.col("visible") >= 0.0), True).otherwise(False)
+    ok = F.when((F.col("height") >= 0.15) & (F.col("visible") >= 0.80), True).otherwise(False)
     s = _person(spark, sf_dir, 0.05).join(loss, "clip").withColumn("ok", ok).where("ok")
     return s.orderBy(F.round("loss", 9), "clip").limit(10).select("clip", (F.round("loss", 5) + 0.0).alias("loss"), R(100 / (F.col("loss") + 1)).alias("score"))
 

@@ -69,10 +69,10 @@ def step_benchmark(spark, sf_dir):
     return m.join(F.broadcast(best)).select("steps", R("m").alias("mean"), R("s").alias("std"), "least", "most", (F.col("m") == F.col("low")).alias("best"))
 
 
-@query(views.sql("+s AS (SELECT worker AS sample, class % 4 AS steps, avg(time) AS loss FROM results GROUP BY ALL), p AS (SELECT a.steps, a.loss - b.loss AS d, b.loss AS base FROM s a JOIN s b ON a.sample = b.sample AND b.steps = b.sample % 4 AND a.steps <> b.steps) SELECT steps, round(avg(d), 4) + 0.0 AS diff, round(100 * avg(d) / avg(base), 4) + 0.0 AS percent, count(*) FILTER (d < 0) AS improved FROM p GROUP BY steps", "results"))
+@query(views.sql("+s AS (SELECT worker AS sample, class // 4 AS steps, avg(time) AS loss FROM results GROUP BY ALL), p AS (SELECT a.steps, a.loss - b.loss AS d, b.loss AS base FROM s a JOIN s b ON a.sample = b.sample AND b.steps = b.sample % 3 AND a.steps <> b.steps) SELECT steps, round(avg(d), 4) + 0.0 AS diff, round(100 * avg(d) / avg(base), 4) + 0.0 AS percent, count(*) FILTER (d < 0) AS improved FROM p GROUP BY steps", "results"))
 def paired_improvement(spark, sf_dir):
-    s = views.results(spark, sf_dir).groupBy(F.col("worker").alias("sample"), (F.col("class") % 4).alias("steps")).agg(F.avg("time").alias("loss"))
-    base = s.where(F.col("steps") == F.col("sample") % 4).select("sample", F.col("steps").alias("own"), F.col("loss").alias("base"))
+    s = views.results(spark, sf_dir).groupBy(F.col("worker").alias("sample"), F.floor(F.col("class") / 4).alias("steps")).agg(F.avg("time").alias("loss"))
+    base = s.where(F.col("steps") == F.col("sample") % 3).select("sample", F.col("steps").alias("own"), F.col("loss").alias("base"))
     p = s.join(base, "sample").where("steps <> own").withColumn("d", F.col("loss") - F.col("base"))
     return p.groupBy("steps").agg(R(F.avg("d")).alias("diff"), R(100 * F.avg("d") / F.avg("base")).alias("percent"), F.count(F.when(F.col("d") < 0, 1)).alias("improved"))
 
