@@ -122,3 +122,26 @@ def boundaries(df: DataFrame, step: int, value: str = "signal", drift: float = 0
     made = df.where(F.col("frame") % step == 0).select("clip", F.col("frame").alias("b"), F.col(value).alias("at_b"))
     keyed = df.withColumn("b", F.floor(F.col("frame") / step) * step)
     return keyed.join(made, ["clip", "b"]).select("clip", "frame", value, (F.col("at_b") + drift * (F.col("frame") - F.col("b"))).alias("model"))
+
+
+def before(df: DataFrame, key: str, columns: list[str], span: int = 1 << 12) -> DataFrame:
+    """Adds before_<column>: the column's sum over smaller keys, which are distinct numbers.
+
+    Sums of key ranges are summed up first (the only step in one task, over one row for each
+    range), then the keys inside each range.
+    """
+    own = df.withColumn("__range", F.floor(F.col(key) / span))
+    every = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = own.groupBy("__range").agg(*(F.sum(c).alias(c) for c in columns))
+    ranges = ranges.select("__range", *(F.coalesce(F.sum(c).over(every), F.lit(0)).alias(f"__{c}") for c in columns))
+    inside = Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    added = own.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns}).join(ranges, "__range")
+    return added.select(*df.columns, *((F.col(f"before_{c}") + F.col(f"__{c}")).alias(f"before_{c}") for c in columns))
+
+
+def ranked(df: DataFrame, key: str, span: int = 1 << 16) -> DataFrame:
+    """Adds `rank`, the 0-based global rank by a numeric key: ranks inside ranges of the key plus the counts before them."""
+    marked = df.withColumn("__block", F.floor(F.col(key) / span))
+    counts = before(marked.groupBy("__block").agg(F.count(F.lit(1)).alias("n")), "__block", ["n"]).select("__block", "before_n")
+    inside = marked.withColumn("__r", F.row_number().over(Window.partitionBy("__block").orderBy(key)))
+    return inside.join(counts, "__block").withColumn("rank", (F.col("before_n") + F.col("__r") - 1).cast("long")).drop("__block", "__r", "before_n")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.windows import before, ranked
 from . import views
 from .catalog import query
-from .windows import ranked
 
 R = lambda c: F.round(c, 4) + 0.0
 STATES = ("valid", "filtered", "failed", "error")
@@ -38,11 +37,11 @@ def time_stats(spark, sf_dir):
 
 @query(views.sql("+r AS (SELECT id, status, row_number() OVER (ORDER BY id) AS rn FROM results), c AS (SELECT rn, count(*) FILTER (status = 'valid') OVER (ORDER BY rn) AS valid, count(*) FILTER (status = 'error') OVER (ORDER BY rn) AS error FROM r) SELECT rn, valid, error FROM c WHERE rn % 100 = 0", "results"))
 def running_counts(spark, sf_dir):
-    """Totals after every hundredth result: counts of blocks, then a running sum over the few blocks."""
+    """Totals after every hundredth result: counts of blocks, then their sums over ranges of blocks."""
     r = ranked(views.results(spark, sf_dir).select("id", "status"), "id").withColumn("b", F.floor(F.col("rank") / 100))
     c = r.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("status") == "valid", 1)).alias("v"), F.count(F.when(F.col("status") == "error", 1)).alias("e"))
-    w = Window.orderBy("b")
-    return c.select(((F.col("b") + 1) * 100).alias("rn"), F.sum("v").over(w).alias("valid"), F.sum("e").over(w).alias("error"), "n").where("n = 100").drop("n")
+    c = before(c, "b", ["v", "e"]).where("n = 100")
+    return c.select(((F.col("b") + 1) * 100).alias("rn"), (F.col("before_v") + F.col("v")).alias("valid"), (F.col("before_e") + F.col("e")).alias("error"))
 
 
 @query(views.sql("+t AS (SELECT class, count(*) AS total FROM results GROUP BY class) SELECT class, total FROM t ORDER BY total DESC, class LIMIT 10", "results"))

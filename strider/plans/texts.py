@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.windows import ranked
 from . import views
 from .catalog import query
-from .windows import ranked
 
 R = lambda c: F.round(c, 4) + 0.0
 _PARSE = """+ln AS (SELECT id, list_transform(string_split(trim(caption, ' ' || chr(10) || chr(9) || chr(13)), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))) AS l FROM captions),

@@ -190,13 +190,5 @@ def frame_lookup(spark, sf_dir):
 def round_robin(spark, sf_dir):
     """Ids are dense, so rank and id agree and no single-partition window is needed; the rank stays for gaps within a range."""
     ids = views.results(spark, sf_dir).select("id")
-    return ranked(ids, "id").select("id", (F.col("rank") % 8).alias("task"))
+    return windows.ranked(ids, "id").select("id", (F.col("rank") % 8).alias("task"))
 
-
-def ranked(df, key: str, span: int = 1 << 16):
-    """0-based global rank of a numeric key: ranks inside ranges of the key, plus the counts of the ranges before. No task sorts everything."""
-    block = F.floor(F.col(key) / span)
-    counts = df.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
-    inside = df.withColumn("block", block).withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(key)))
-    return inside.join(before, "block").withColumn("rank", (F.col("before") + F.col("r") - 1).cast("long")).drop("block", "r", "before")
