@@ -125,3 +125,16 @@ def quaternion(u: Vec, v: Vec) -> Vec:
     half = (F.lit(0.0), *(x / F.nullif(norm(side), F.lit(0.0)) for x in side))
     turn = tuple(x / F.nullif(n, F.lit(0.0)) for x in (1 + d, *c))
     return choose(d > 0.9999, lit(1, 0, 0, 0), choose(d < -0.9999, half, turn))
+
+
+def matrix_quaternion(m: Mat) -> Vec:
+    """w, x, y, z of a rotation matrix: by the trace if it is positive, else by the largest diagonal term."""
+    (a, b, c), (d, e, f), (g, h, i) = m
+    root = lambda x: F.sqrt(F.greatest(x, F.lit(1e-12)))
+    t = 0.5 / root(a + e + i + 1)
+    by_trace = (0.25 / t, (h - f) * t, (c - g) * t, (d - b) * t)
+    s, u, v = 2 * root(1 + a - e - i), 2 * root(1 + e - a - i), 2 * root(1 + i - a - e)
+    by_x = ((h - f) / s, 0.25 * s, (b + d) / s, (c + g) / s)
+    by_y = ((c - g) / u, (b + d) / u, 0.25 * u, (f + h) / u)
+    by_z = ((d - b) / v, (c + g) / v, (f + h) / v, 0.25 * v)
+    return choose(a + e + i > 0, by_trace, choose((a > e) & (a > i), by_x, choose(e > i, by_y, by_z)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import vec
 from ..operators import render
 from . import views
 from .catalog import query
@@ -120,6 +121,24 @@ def keypoint_rescale(spark, sf_dir):
     return j.select("clip", "frame", "j", r(F.col("x") * 320 / 640).alias("u"), r(F.col("y") * 240 / 480).alias("v"), r(F.col("x") - F.col("x1")).alias("cx"), r(F.col("y") - F.col("y1")).alias("cy"))
 
 
+_QUAT = """+an AS (SELECT clip, frame, 6 * e[1] AS p, 6 * e[2] AS r, 6 * e[3] AS y FROM frames),
+m AS (SELECT clip, frame, cos(r)*cos(y) AS a, -cos(r)*sin(y) AS b, sin(r) AS c, cos(p)*sin(y) + sin(p)*sin(r)*cos(y) AS d, cos(p)*cos(y) - sin(p)*sin(r)*sin(y) AS e, -sin(p)*cos(r) AS f, sin(p)*sin(y) - cos(p)*sin(r)*cos(y) AS g, sin(p)*cos(y) + cos(p)*sin(r)*sin(y) AS h, cos(p)*cos(r) AS i FROM an),
+q AS (SELECT clip, frame, CASE WHEN a + e + i > 0 THEN [sqrt(a + e + i + 1) / 2, (h - f) / 2 / sqrt(a + e + i + 1), (c - g) / 2 / sqrt(a + e + i + 1), (d - b) / 2 / sqrt(a + e + i + 1)]
+  WHEN a > e AND a > i THEN [(h - f) / 2 / sqrt(1 + a - e - i), sqrt(1 + a - e - i) / 2, (b + d) / 2 / sqrt(1 + a - e - i), (c + g) / 2 / sqrt(1 + a - e - i)]
+  WHEN e > i THEN [(c - g) / 2 / sqrt(1 + e - a - i), (b + d) / 2 / sqrt(1 + e - a - i), sqrt(1 + e - a - i) / 2, (f + h) / 2 / sqrt(1 + e - a - i)]
+  ELSE [(d - b) / 2 / sqrt(1 + i - a - e), (c + g) / 2 / sqrt(1 + i - a - e), (f + h) / 2 / sqrt(1 + i - a - e), sqrt(1 + i - a - e) / 2] END AS q FROM m)
+SELECT clip, frame, round(q[1], 4) + 0.0 AS w, round(q[2], 4) + 0.0 AS x, round(q[3], 4) + 0.0 AS y, round(q[4], 4) + 0.0 AS z FROM q"""
+
+
+@query(views.sql(_QUAT, "frames"))
+def matrix_quaternion(spark, sf_dir):
+    f = views.frames(spark, sf_dir)
+    f = f.select("clip", "frame", *((6 * F.get("e", F.lit(k))).alias(f"a{k}") for k in range(3)))
+    m = f.select("clip", "frame", *(c.alias(f"m{i}{j}") for i, row in enumerate(vec.from_euler(tuple(F.col(f"a{k}") for k in range(3)))) for j, c in enumerate(row)))
+    q = vec.matrix_quaternion(tuple(tuple(F.col(f"m{i}{j}") for j in range(3)) for i in range(3)))
+    return m.select("clip", "frame", *(R(c).alias(n) for n, c in zip("wxyz", q)))
+
+
 _ORTHO = """+h AS (SELECT clip, frame, j, px - first(px) OVER w AS x, -(py - first(py) OVER w) AS y FROM joints WINDOW w AS (PARTITION BY clip, frame ORDER BY j)),
 b AS (SELECT a.clip, a.frame, a.j, a.x, a.y, f.x AS fx, f.y AS fy FROM h a JOIN h f ON a.clip = f.clip AND a.j = f.j AND f.frame = 0),
 s AS (SELECT clip, frame, least(min(x), min(fx)) AS x0, greatest(max(x), max(fx)) AS x1, least(min(y), min(fy)) AS y0, greatest(max(y), max(fy)) AS y1 FROM b GROUP BY clip, frame),
@@ -145,8 +164,6 @@ _UP = "u AS (SELECT clip, frame, sqrt((e[31] - (e[10] + e[19]) / 2) ** 2 + (e[32
 @query(views.sql(f"+{_UP}, m AS (SELECT clip, avg(abs(d)) AS motion FROM (SELECT clip, e[k + 1] - lag(e[k + 1]) OVER (PARTITION BY clip, k ORDER BY frame) AS d FROM frames, range(51) t(k)) GROUP BY clip), s AS (SELECT clip // 3 AS class, clip, min(up) * avg(up) * any_value(motion) AS score FROM u JOIN m USING (clip) GROUP BY clip HAVING count(*) >= 15) SELECT class, clip FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY round(score, 9) DESC, clip) AS r FROM s) WHERE r = 1", "frames"))
 def trajectory_pick(spark, sf_dir):
     """For each class the clip with the best product of least and mean uprightness and motion."""
-    from ..functions import vec
-
     p = views.poses(spark, sf_dir)
     ankles = vec.scale(vec.add(vec.at("pose", 3), vec.at("pose", 6)), 0.5)
     w = Window.partitionBy("clip").orderBy("frame")
