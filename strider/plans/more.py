@@ -175,9 +175,9 @@ def trajectory_pick(spark, sf_dir):
 
 @query("SELECT 'Video: ' || doc_id || chr(10) || 'Action Class: ' || source || chr(10) || chr(10) || 'Description:' || chr(10) || substr(text, 1, 20) AS content FROM documents WHERE text <> '' AND NOT starts_with(text, 'Error')")
 def caption_file(spark, sf_dir):
-    """Caption files of accepted captions; a summary cut is the feature."""
+    """Caption files of accepted captions, with the whole text."""
     d = views.table(spark, sf_dir, "documents").where((F.col("text") != "") & ~F.startswith("text", F.lit("Error")))
-    return d.select(F.concat(F.lit("Video: "), F.col("doc_id").cast("string"), F.lit("\nAction Class: "), F.col("source"), F.lit("\n\nDescription:\n"), F.substring("text", 1, 20)).alias("content"))
+    return d.select(F.concat(F.lit("Video: "), F.col("doc_id").cast("string"), F.lit("\nAction Class: "), F.col("source"), F.lit("\n\nDescription:\n"), F.col("text")).alias("content"))
 
 
 @query(views.sql("""SELECT '{"class":' || class || ',"n":' || count(*) || ',"valid":' || count(*) FILTER (status = 'valid') || '}' AS report FROM results GROUP BY class""", "results"))
