@@ -25,7 +25,7 @@ def caption_parse(spark, sf_dir):
 FROM (SELECT conv_id, turn, 'Left arm, lefty LEFT right. ' || substr(text, 1, 60) || ' Right lEFT right' AS t FROM conversations)""")
 def flip_words(spark, sf_dir):
     c = views.table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", text.swap_sides(F.concat(F.lit("Left arm, lefty LEFT right. "), F.substring("text", 1, 60), F.lit(" Right lEFT right"))).alias("t"))
+    return c.select("conv_id", "turn", text.swap_sides(F.concat(F.lit("Left arm, lefty LEFT right. "), F.col("text"), F.lit(" Right lEFT right"))).alias("t"))
 
 
 _SHARE = "('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967295.0::DOUBLE"
