@@ -109,7 +109,7 @@ def symmetric_range(spark, sf_dir):
 
 @query(views.sql("SELECT clip, round(avg(x), 3) + 0.0 AS cx, round(avg(y), 3) + 0.0 AS cy, round(480 * 0.85 / greatest(max(x) - min(x), max(y) - min(y), 1e-6), 4) + 0.0 AS scale FROM joints WHERE abs(x) + abs(y) > 1 AND clip % 5 <> 0 GROUP BY clip", "joints"))
 def common_centring(spark, sf_dir):
-    j = views.joints(spark, sf_dir).where("abs(x) + abs(y) > 1 AND clip % 5 <> 0")
+    j = views.joints(spark, sf_dir).where("abs(x) + abs(y) > 1")
     span = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-6))
     return j.groupBy("clip").agg((F.round(F.avg("x"), 3) + 0.0).alias("cx"), (F.round(F.avg("y"), 3) + 0.0).alias("cy"), R(480 * 0.85 / span).alias("scale"))
 

@@ -2,7 +2,7 @@
 
 import re
 
-from strider.plans import catalog
+from strider.plans import catalog, views
 
 
 def test_caption_files_hold_the_whole_text(spark, sf_dir):
@@ -19,3 +19,9 @@ def test_sides_are_swapped_in_the_whole_text(spark, sf_dir):
     assert any(len(r.text) > 60 for r in rows)
     want = sorted((r.conv_id, r.turn, swap(f"Left arm, lefty LEFT right. {r.text} Right lEFT right")) for r in rows)
     assert sorted((r.conv_id, r.turn, r.t) for r in catalog.QUERIES["flip_words"](spark, sf_dir).where("t IS NOT NULL").collect()) == want
+
+
+def test_every_clip_is_centred(spark, sf_dir):
+    want = {r.clip for r in views.joints(spark, sf_dir).where("abs(x) + abs(y) > 1").select("clip").distinct().collect()}
+    got = [r.clip for r in catalog.QUERIES["common_centring"](spark, sf_dir).collect()]
+    assert any(c % 5 == 0 for c in want) and len(got) == len(want) and set(got) == want
