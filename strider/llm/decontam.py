@@ -25,7 +25,8 @@ broadcast is bounded whatever the benchmark's size.
 
 Null or empty texts and items have no words and no leaks. Items are told apart by id; of
 rows that repeat an id the words of each are looked for, and the nearest counts. Rows with
-a null id are scanned like others. Very long texts cost memory in proportion to their
+a null id are scanned like others, and each item without an id is looked for as one of its
+own, with a null item_id in the result. Very long texts cost memory in proportion to their
 length. Other columns of the input are ignored; `leaked` gives a Column for filters.
 """
 
@@ -199,7 +200,7 @@ class Items:
                     starts = self._starts(places, len(ids), m, *self.sizes[m][:2])
                     if len(starts):
                         windows.setdefault(m, []).append((t, starts))
-        best: list[dict[int, tuple[int, int, int]]] = [{} for _ in raws]
+        best: list[dict[tuple[int, ...], tuple[int, int, int]]] = [{} for _ in raws]
         for m, own in windows.items():
             d, _, moves, spots, names, items, keys, owners = self.sizes[m]
             for part in _batches(own):
@@ -215,9 +216,11 @@ class Items:
                     text = texts[t][max(0, a - d) : b + m + d].tolist()
                     near, end = nearest(items[item], text)
                     if near <= d:
-                        new, old = (near, max(0, a - d) + end, m), best[t].get(names[item])
-                        best[t][names[item]] = new if old is None else min(old, new)
-        return [[(item, end, near, m) for item, (near, end, m) in sorted(x.items())] for x in best]
+                        # an item without an id is told apart by its size and place
+                        name = (m, item) if names[item] is None else (names[item],)
+                        new, old = (near, max(0, a - d) + end, m), best[t].get(name)
+                        best[t][name] = new if old is None else min(old, new)
+        return [[(name[0] if len(name) == 1 else None, end, near, m) for name, (near, end, m) in sorted(x.items(), key=lambda y: (len(y[0]), y[0]))] for x in best]
 
 
 def _batches(own: list[tuple[int, np.ndarray]], most: int = 4096) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -248,10 +251,10 @@ def _runs(pairs: set[tuple[int, int, int]], d: int) -> Iterator[tuple[int, int,
         yield tuple(run)
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
-    """The benchmark's rows in blocks of bounded size, one block at a time on the driver."""
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, null_ids: bool = False) -> Iterator[list[tuple[int | None, bytes]]]:
+    """The benchmark's rows, those without an id if `null_ids`, in blocks of bounded size, one block at a time on the driver."""
     block, size = [], 0
-    rows = benchmark.select(F.col(id_col).cast("long"), text_column(text_col).cast("binary")).where(F.col(id_col).isNotNull())
+    rows = benchmark.select(F.col(id_col).cast("long"), text_column(text_col).cast("binary")).where(F.lit(null_ids) | F.col(id_col).isNotNull())
     for item, raw in rows.toLocalIterator():
         if block and size + len(raw) > block_bytes:
             yield block
@@ -267,7 +270,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     schema = "doc_id long, item_id long, end_word long, distance int, item_words int"
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).cast("binary").alias("raw"))
     out = None
-    for block in item_blocks(benchmark, item_col, item_text):
+    for block in item_blocks(benchmark, item_col, item_text, null_ids=True):
         items = Items(block, similarity)
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
@@ -286,7 +289,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 def leaked(benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> Column:
     """True where a text has a leak."""
     out: Column = F.lit(False)
-    for block in item_blocks(benchmark, item_col, item_text):
+    for block in item_blocks(benchmark, item_col, item_text, null_ids=True):
         out = out | _any_leak(Items(block, similarity))(text_column(text_col).cast("binary"))
     return out
 
