@@ -1,9 +1,12 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
-A text is cut in halves down to leaves, leaves are encoded, and neighbours are
-joined up the tree by encoding again a window around their border. The window
-grows on either side to the next *sync point*, a place where every scan of the
-split pattern starts a new match whatever stands before it:
+Every text is cut in halves down to leaves of at most `leaf` characters. A leaf is
+split by the pattern, and the bytes of each match are merged by rank: the pair of
+neighbours that stands lowest, the first of equals, until no pair has a rank. A match
+that is a token as a whole is that token. Neighbours are joined up the tree by
+encoding again a window around their border. The window grows on either side to the
+next *sync point*, a place where every scan of the split pattern starts a new match
+whatever stands before it:
 
 * white space after something else than white space,
 * a character that is no letter after a letter,
@@ -14,7 +17,14 @@ match ends before such a place; the pattern has no look-behind, so what comes
 after it does not depend on what comes before; and the pattern looks at most two
 characters past a match's first (contractions) or one past its end, all of which
 a sync point leaves on its own side. Tokens outside the window are hence those
-of the joined text. If a half has no sync point, the window takes all of it.
+of the joined text. If a half has no sync point, the window takes all of it. Nodes
+of which the whole left and right part would be encoded again (one match over many
+leaves) skip doing so: only the node above that has a sync point on both sides, or the
+root, encodes it, so a text that is one long match costs one encoding and not one for
+each level.
+
+The tokens of short matches are kept in a table of at most `memory` bytes for each
+worker and vocabulary; a full table is emptied, which changes no result.
 
 Null text counts as empty; an empty text has no tokens. Very long texts cost
 memory in proportion to their own length. Repeated rows give repeated results.
@@ -26,6 +36,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 from functools import lru_cache
 
 import pyarrow as pa
@@ -35,27 +46,44 @@ from pyspark.sql import functions as F
 
 from .common import text_column
 
-LEAF = 4096
-
-_SYNC = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])")
+LEAF = 64
+MEMORY = 96 << 20
+#: Longest match in bytes that is merged by scanning and kept in the table.
+_SCANNED = 64
+
+_SYNC = r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])"
+_NEXT, _LAST = regex.compile(_SYNC), regex.compile("(?r)" + _SYNC)
+#: Characters that `regex` takes for letters or digits and the library's Unicode 16 does not.
+_NEWER = (
+    "\u0558 \u058b-\u058c \u088f \u0c5c \u0cdc \u208f \u209d-\u209f \ua7ce-\ua7cf \ua7d2 \ua7d4 \ua7dd \ua7e2 \ua7f1 \uab6c-\uab6d \U000107bb-\U000107bf \U00010940-\U00010959 "
+    "\U00010ec5-\U00010ec7 \U00010ed9-\U00010eee \U00011b0a \U00011db0-\U00011ddb \U00011de0-\U00011de9 \U00011df1 \U0001246f \U00012475-\U0001247f \U00012550-\U00012686 "
+    "\U00016ea0-\U00016eb8 \U00016ebb-\U00016ed3 \U00016ff2-\U00016ff6 \U000187f8-\U000187ff \U00018cd6-\U00018cda \U00018d09-\U00018d20 \U00018d80-\U00018df2 "
+    "\U00018e00-\U00019191 \U000191a0-\U000191d2 \U0001b123-\U0001b128 \U0001b168 \U0001d6a6 \U0001df1f-\U0001df24 \U0001df2b-\U0001df81 \U0001df90-\U0001df96 "
+    "\U0001dfcd-\U0001dfff \U0001e6c0-\U0001e6de \U0001e6e0-\U0001e6e2 \U0001e6e4-\U0001e6e5 \U0001e6e7-\U0001e6ed \U0001e6f0-\U0001e6f4 \U0001e6fe-\U0001e6ff "
+    "\U0002b73a-\U0002b73f \U0002b81e \U0002cea2-\U0002cead \U000323b0-\U00033479 \U0003d000-\U0003fc3f"
+)
+_OTHERS = regex.compile(f"[{_NEWER.replace(' ', '')}]")
+#: About what an entry of the table costs beside its bytes.
+_ENTRY = 220
 
 
 class BytePairCodec:
     """Tree encoder and decoder over a rank file and a split pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF):
-        import tiktoken
-
-        self._own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, memory: int = MEMORY):
+        self._ranks, self._leaf, self._memory = ranks, max(1, leaf), memory
+        self._split = regex.compile(pattern).findall
         self._bytes = {i: b for b, i in ranks.items()}
-        self._leaf = max(1, leaf)
+        self._known: dict[str, list[int]] = {}
+        self._used, self._none = 0, max(ranks.values(), default=0) + 1
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= self._leaf:
-            return self._own.encode_ordinary(text)
-        mid = len(text) // 2
-        left, right = text[:mid], text[mid:]
-        return self._join(left, self.encode(left), right, self.encode(right))
+        # the pattern sees characters that are neither letters nor digits to the library as NUL, which is neither
+        plain = text if text.isascii() else _OTHERS.sub("\0", text)
+        if plain == text:
+            plain = text
+        found = self._node(text, plain, 0, len(text))
+        return self._flat(text, plain, 0, len(text)) if found is None else found
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= self._leaf:
@@ -63,16 +91,91 @@ class BytePairCodec:
         mid = len(ids) // 2
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
-    def _join(self, left: str, a: list[int], right: str, b: list[int]) -> list[int]:
-        cut = _last_sync(left)
-        end = _first_sync(right)
-        window = left[cut:] + right[:end]
-        keep = self._count_back(a, len(left[cut:].encode()))
-        skip = self._count_on(b, len(right[:end].encode()))
-        return a[:keep] + self._own.encode_ordinary(window) + b[skip:]
-
-    def _count_back(self, ids: list[int], n: int) -> int:
-        at = len(ids)
+    def _node(self, text: str, plain: str, lo: int, hi: int) -> list[int] | None:
+        """Tokens of text[lo:hi]; None if it has no sync point, so that no token of it could be kept above."""
+        if hi - lo <= self._leaf:
+            return self._flat(text, plain, lo, hi) if _NEXT.search(plain, lo + 1, hi) else None
+        mid = (lo + hi) // 2
+        left, right = _LAST.search(plain, lo + 1, mid), _NEXT.search(plain, mid + 1, hi)
+        if left is None and right is None:
+            return self._flat(text, plain, lo, hi) if _NEXT.search(plain, lo + 1, hi) else None
+        cut, end = left.start() if left else lo, right.start() if right else hi
+        keep = []
+        if left:
+            keep = self._node(text, plain, lo, mid)
+            del keep[self._back(keep, text[cut:mid]) :]
+        keep += self._flat(text, plain, cut, end)
+        if right:
+            more = self._node(text, plain, mid, hi)
+            keep += more[self._on(more, text[mid:end]) :]
+        return keep
+
+    def _flat(self, text: str, plain: str, lo: int, hi: int) -> list[int]:
+        """Tokens of the pattern's matches, one after the other."""
+        out, known = [], self._known
+        for match in self._split(plain[lo:hi]):
+            if plain is not text:
+                match, lo = text[lo : lo + len(match)], lo + len(match)
+            ids = known.get(match)
+            out += self._match(match) if ids is None else ids
+        return out
+
+    def _match(self, match: str) -> list[int]:
+        raw = match.encode()
+        whole = self._ranks.get(raw)
+        ids = [whole] if whole is not None else self._scanned(raw) if len(raw) <= _SCANNED else self._heaped(raw)
+        if len(raw) <= _SCANNED:
+            self._used += _ENTRY + 2 * len(raw) + 8 * len(ids)
+            if self._used > self._memory:
+                self._known.clear()
+                self._used = 0
+            self._known[match] = ids
+        return ids
+
+    def _scanned(self, raw: bytes) -> list[int]:
+        """Tokens of a short match: the least of all pairs' ranks is looked for again after each merge."""
+        get, none = self._ranks.get, self._none
+        ends = list(range(1, len(raw) + 1))
+        pairs = [get(raw[k : k + 2], none) for k in range(len(raw) - 1)]
+        while pairs and (least := min(pairs)) != none:
+            # pair k is that of the parts that end at ends[k] and ends[k + 1]
+            k = pairs.index(least)
+            del ends[k], pairs[k]
+            start = ends[k - 1] if k else 0
+            if k:
+                pairs[k - 1] = get(raw[ends[k - 2] if k > 1 else 0 : ends[k]], none)
+            if k < len(pairs):
+                pairs[k] = get(raw[start : ends[k + 1]], none)
+        return [self._ranks[raw[a:b]] for a, b in zip([0, *ends], ends)]
+
+    def _heaped(self, raw: bytes) -> list[int]:
+        """Tokens of a long match, the same: pairs wait in a heap over a linked list of parts."""
+        ranks, n = self._ranks, len(raw)
+        # part k goes from k to after[k]; `before` of a part that was merged away is -2
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, k) for k in range(n - 1) if (r := ranks.get(raw[k : k + 2])) is not None]
+        heapify(heap)
+        while heap:
+            r, k = heappop(heap)
+            if before[k] == -2 or (middle := after[k]) >= n or ranks.get(raw[k : after[middle]]) != r:
+                continue  # one of the two has grown or gone
+            end = after[k] = after[middle]
+            before[middle] = -2
+            if end < n:
+                before[end] = k
+                if (r := ranks.get(raw[k : after[end]])) is not None:
+                    heappush(heap, (r, k))
+            if (back := before[k]) >= 0 and (r := ranks.get(raw[back:end])) is not None:
+                heappush(heap, (r, back))
+        out, k = [], 0
+        while k < n:
+            out.append(ranks[raw[k : after[k]]])
+            k = after[k]
+        return out
+
+    def _back(self, ids: list[int], tail: str) -> int:
+        """How many of the tokens stand before `tail`."""
+        at, n = len(ids), len(tail.encode())
         while n > 0:
             at -= 1
             n -= len(self._bytes[ids[at]])
@@ -80,8 +183,9 @@ class BytePairCodec:
             raise AssertionError("a sync point inside a token")
         return at
 
-    def _count_on(self, ids: list[int], n: int) -> int:
-        at = 0
+    def _on(self, ids: list[int], head: str) -> int:
+        """How many of the tokens make up `head`."""
+        at, n = 0, len(head.encode())
         while n > 0:
             n -= len(self._bytes[ids[at]])
             at += 1
@@ -90,31 +194,6 @@ class BytePairCodec:
         return at
 
 
-def _first_sync(text: str) -> int:
-    """The first sync point with its own context inside `text`; its length if there is none."""
-    found = _SYNC.search(text, 1) if len(text) > 1 else None
-    return found.start() if found else len(text)
-
-
-def _last_sync(text: str) -> int:
-    """The last sync point, looked for in tails of doubled size; 0 if there is none.
-
-    One more character than the tail is searched, as a point is known by both its sides.
-    """
-    size = 64
-    while True:
-        low = max(0, len(text) - size)
-        tail = text[low:]
-        last = None
-        for last in _SYNC.finditer(tail, 1):
-            pass
-        if last is not None:
-            return low + last.start()
-        if not low:
-            return 0
-        size *= 2
-
-
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str, leaf: int = LEAF) -> BytePairCodec:
     """One codec for each worker process and vocabulary."""

@@ -1,5 +1,6 @@
 """Token counts, byte-level BPE, media columns: library parity, round trips, odd rows."""
 
+import base64
 import hashlib
 import os
 import random
@@ -8,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import tiktoken
 from tokenizers import Tokenizer
 
 from strider.llm import bpe, media, token_counts
@@ -63,18 +65,42 @@ def test_counts_of_odd_rows(odd_docs, spark):
     assert token_counts.budgets(odd_docs.limit(0), P.path("byte_bpe_50k.json"), 1024).count() == 0
 
 
-@pytest.mark.parametrize("leaf", [1, 2, 3, 7, 50])
+def library():
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return ranks, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("leaf", [1, 2, 3, 7, 50, 1000])
 def test_tree_encoding_equals_the_library(leaf):
-    own = bpe.BytePairCodec(bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)._own._mergeable_ranks, P.PATTERN, leaf)
+    ranks, theirs = library()
+    own = bpe.BytePairCodec(ranks, P.PATTERN, leaf)
     for t in texts(400, 30, leaf) + [t or "" for t in ODD]:
         ids = own.encode(t)
-        assert ids == own._own.encode_ordinary(t)
+        assert ids == theirs.encode_ordinary(t)
         assert own.decode(ids) == t.encode()
 
 
+def test_tree_encoding_of_any_characters_equals_the_library():
+    ranks, theirs = library()
+    own, rng = bpe.BytePairCodec(ranks, P.PATTERN, 4, memory=5000), random.Random(4)
+    every = [chr(c) for c in range(0x40000) if not 0xD800 <= c <= 0xDFFF]
+    rng.shuffle(every)
+    for k in range(0, len(every), 64):
+        t = "".join(c + rng.choice(["", " ", "a", "7", "!", "'s"]) for c in every[k : k + 64])
+        assert own.encode(t) == theirs.encode_ordinary(t)
+
+
+def test_bpe_of_documents_equals_the_library(spark, sf_dir):
+    _, theirs = library()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r.ids for r in bpe.encode_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    assert got == {r.doc_id: theirs.encode_ordinary(r.text or "") for r in docs.collect()}
+
+
 def test_bpe_digests_and_odd_rows(odd_docs):
     path = P.path("byte_bpe_50k.tiktoken")
-    whole = bpe.codec(path, P.PATTERN)._own
+    _, whole = library()
     got = bpe.round_trip(odd_docs, path, P.PATTERN).collect()
     assert len(got) == len(ODD) + 2
     by = {r.doc_id: r for r in got}
