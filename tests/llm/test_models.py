@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -95,6 +96,94 @@ def test_toxicity_without_positives(tables):
     assert toxicity.scores(docs.limit(0), toxicity.fit(docs, labels)).count() == 0
 
 
+def dense(rows):
+    x = np.zeros((rows.n, rows.width))
+    x[rows.row, rows.col] = 1
+    return x
+
+
+def pu_rows(seed, n_p=40, n_u=200, width=30):
+    rng = np.random.default_rng(seed)
+    one = lambda k, some: toxicity.Rows([rng.choice(some, rng.integers(0, 6), replace=False).tolist() for _ in range(k)], width)
+    return one(n_p, 12), one(n_u, width)
+
+
+def test_risk_and_gradient_equal_numeric_ones():
+    """Both terms by their definition, row by row; the gradient by differences, on both sides of the cut."""
+    seen = set()
+    for seed in range(12):
+        p, u = pu_rows(seed)
+        rng = np.random.default_rng(seed + 100)
+        w, b, prior = rng.normal(0, 1 + seed / 2, p.width), rng.normal(), [0.05, 0.4, 0.8][seed % 3]
+
+        def terms(x):
+            loss = lambda g: np.mean([np.log1p(np.exp(-v)) if v > -30 else -v for v in g])
+            gp, gu = dense(p) @ x[:-1] + x[-1], dense(u) @ x[:-1] + x[-1]
+            return prior * loss(gp), loss(-gu) - prior * loss(-gp)
+
+        x = np.append(w, b)
+        assert np.allclose(toxicity.risk(p, u, prior, w, b), terms(x))
+        first, rest = terms(x)
+        # below zero the step climbs the second term again
+        follow = (lambda y: sum(terms(y))) if rest >= 0 else (lambda y: -terms(y)[1])
+        numeric = [(follow(x + e) - follow(x - e)) / 2e-5 for e in np.eye(len(x)) * 1e-5]
+        assert np.allclose(toxicity.gradient(p, u, prior, w, b), numeric, atol=1e-6)
+        seen.add(rest >= 0)
+    assert seen == {True, False}
+
+
+def test_training_equals_a_dense_version():
+    p, u = pu_rows(5)
+    w, b = toxicity.train(p, u, 0.3, steps=60)
+    x, m, v = np.append(np.zeros(p.width), -1.0), 0, 0
+    xp, xu = np.c_[dense(p), np.ones(p.n)], np.c_[dense(u), np.ones(u.n)]
+    s = lambda g: 1 / (1 + np.exp(-g))
+    for t in range(1, 61):
+        gp, gu = xp @ x, xu @ x
+        rest = xu.T @ s(gu) / u.n - 0.3 * xp.T @ s(gp) / p.n
+        g = -0.3 * xp.T @ s(-gp) / p.n + rest if np.log1p(np.exp(gu)).mean() >= 0.3 * np.log1p(np.exp(gp)).mean() else -rest
+        g += 1e-4 * np.append(x[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        x = x - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert np.allclose(np.append(w, b), x, atol=1e-9)
+
+
+def test_kept_features_and_scores_equal_brute_force(tables):
+    """Everything from labels to scores again, with plain sets over the training rows."""
+    docs, labels, truth = tables
+    model = toxicity.fit(docs, labels, kept=25)
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    rows = {d: t for d, _, t in truth if zlib.crc32(str(d).encode()) % 3 != 1}
+    found = {d: toxicity.features_of(text[d]) for d in rows}
+    pos = [d for d in rows if rows[d]]
+    told = []
+    for f in set().union(*(found[d] for d in pos)):
+        in_p, in_u = sum(f in found[d] for d in pos), sum(f in x for x in found.values())
+        times = (in_p + 0.5) / (len(pos) + 1) / ((in_u + 0.5) / (len(rows) + 1))
+        if times >= toxicity.RATIO:
+            told.append((-round(in_p * np.log(times), 9), f))
+    best = [f for _, f in sorted(told)[:25]]
+    assert set(model.index) == set(best)
+    number = model.index
+    make = lambda ids: toxicity.Rows([sorted(number[f] for f in found[d] if f in number) for d in ids], len(number))
+    w, b = toxicity.train(make(pos), make(list(rows)), len(pos) / len(rows))
+    assert np.allclose(w, model.weights, atol=1e-6) and abs(b - model.bias) < 1e-6
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, model).collect()}
+    for d in list(text)[:200]:
+        want = 1 / (1 + np.exp(-(sum(w[number[f]] for f in toxicity.features_of(text[d]) if f in number) + b)))
+        assert abs(got[d] - want) < 1e-6
+
+
+def test_two_positives_give_a_model(spark):
+    """Also one; a score tells texts with the toxic word from others."""
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 3 != 1]
+    for n in (1, 2):
+        docs = spark.createDataFrame([(d, f"plain words number {d} " + ("nastyone" if k < n else "fine")) for k, d in enumerate(ids)] + [(9000, "a nastyone again"), (9001, "plain words")], "doc_id long, text string")
+        labels = spark.createDataFrame([(d, int(k < n)) for k, d in enumerate(ids)], "doc_id long, toxic int")
+        got = {r.doc_id: r.score for r in toxicity.scores(docs, toxicity.fit(docs, labels)).collect()}
+        assert got[9000] > 0.5 > got[9001]
+
+
 def test_negative_risk_is_climbed_back():
     """With few positives that a classifier can tell apart at will, the risk of unlabelled text does not fall far below zero."""
     rng = np.random.default_rng(1)
@@ -127,7 +216,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
         near = any(tuple(w[k : k + 3]) in grams for k in range(len(w) - 2))
         if not near or not any(slow_nearest(i, w) <= decontam.edits(len(i)) for i in items):
             clean[d] = t
-    own = bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)._own
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)._ranks, special_tokens={})
     assert set(got) == set(clean)
     for d, t in clean.items():
         ids = own.encode_ordinary(t)
