@@ -21,22 +21,28 @@ once; any other scan is read bit by bit by the rules of the standard. The invers
 transform uses integer cosines in double precision, whose sums are exact, so that
 results do not depend on the order of additions. Chroma is doubled both ways.
 
+**Tables.** store() gives the files, tensors() reads them and gives the payload and the
+full-resolution RGB tensor of each as columns, digests() describes what is in these
+columns. Each is a table that can be written; the query chains them, so that neither
+files nor tensors (twice the payload) go to disk for the sake of digests.
+
 Null text counts as empty; an empty text gives one block of zero bytes. Repeated
 texts give repeated values. Very long texts cost memory in proportion to their
-length. Other columns of the input, whatever their names, are ignored.
+length, about twelve times the payload: the inverse transform works on strips of
+pixel rows. Other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_column
 
@@ -46,6 +52,8 @@ _DC_BITS = 8
 #: Code lengths: one symbol of one bit, then fifteen of five bits.
 _LONG = 5
 _COMMENT = b"payload "
+#: About how many samples of a component are transformed at once, and bytes that are handed on in one batch.
+_STRIP, _BATCH = 1 << 18, 4 << 20
 
 
 def _zigzag() -> np.ndarray:
@@ -369,79 +377,97 @@ class Picture:
         out = np.where(coefs < 0, coefs + 255, coefs).astype(np.uint8)
         return out.tobytes()[: int(self.comment[len(_COMMENT) :])]
 
-    def _plane(self, c: int) -> np.ndarray:
-        """Samples of a component, in whole units."""
+    def _plane(self, c: int, first: int, last: int) -> np.ndarray:
+        """Samples of a component in the picture's unit rows from `first` to before `last`."""
         h, v, q = self.parts[c]
-        rows, cols = self.units[0] * v, self.units[1] * h
-        x = (self.coefs[c] * self.quant[q])[:, _PLACE].astype(np.float64)
+        rows, cols = (last - first) * v, self.units[1] * h
+        x = (self.coefs[c][first * v * cols : last * v * cols] * self.quant[q])[:, _PLACE].astype(np.float64)
         x = (x.reshape(-1, 8) @ _COS).reshape(-1, 8, 8).transpose(0, 2, 1)
         x = np.floor((x.reshape(-1, 8) @ _COS) / (_SCALE * _SCALE) + 128.5).clip(0, 255).astype(np.int32)
         return x.reshape(rows, cols, 8, 8).transpose(0, 3, 1, 2).reshape(8 * rows, 8 * cols)
 
     def rgb(self) -> np.ndarray:
-        """The full-resolution tensor, height x width x 3."""
-        planes = []
-        for c in (1, 2, 3):
-            h, v, _ = self.parts[c]
-            p = self._plane(c)
-            if (self.v, self.h) != (v, h):
-                p = p.repeat(self.v // v, 0).repeat(self.h // h, 1)
-            planes.append(p[: self.height, : self.width])
-        y, cb, cr = planes[0] << 16, planes[1] - 128, planes[2] - 128
-        # The inverse colour transform's factors 1.402, 0.344136, 0.714136 and 1.772.
+        """The full-resolution tensor, height x width x 3, made strip by strip."""
         out = np.empty((self.height, self.width, 3), np.uint8)
-        for k, x in enumerate((y + 91881 * cr, y - 22553 * cb - 46802 * cr, y + 116130 * cb)):
-            out[:, :, k] = (x + 32768 >> 16).clip(0, 255)
+        high, step = 8 * self.v, max(1, _STRIP // (64 * self.v * self.h * self.units[1]))
+        for first in range(0, self.units[0], step):
+            last = min(first + step, self.units[0])
+            some = out[first * high : last * high]
+            planes = []
+            for c in (1, 2, 3):
+                h, v, _ = self.parts[c]
+                p = self._plane(c, first, last)
+                if (self.v, self.h) != (v, h):
+                    p = p.repeat(self.v // v, 0).repeat(self.h // h, 1)
+                planes.append(p[: len(some), : self.width])
+            y, cb, cr = planes[0] << 16, planes[1] - 128, planes[2] - 128
+            # The inverse colour transform's factors 1.402, 0.344136, 0.714136 and 1.772.
+            for k, x in enumerate((y + 91881 * cr, y - 22553 * cb - 46802 * cr, y + 116130 * cb)):
+                some[:, :, k] = (x + 32768 >> 16).clip(0, 255)
         return out
 
 
-def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and `jpeg`, the stored form of every whole text."""
+def _mapped(df: DataFrame, one: Callable[..., tuple], schema: str, types: dict[str, pa.DataType]) -> DataFrame:
+    """`one` of every row's columns but the first, in batches of about _BATCH bytes, behind the first column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([write_jpeg(pad(x)) for x in raw], pa.binary())], names=["doc_id", "n_bytes", "jpeg"])
+            rows, first, size = [], 0, 0
+            for k in range(batch.num_rows):
+                rows.append(one(*(c[k].as_py() for c in batch.columns[1:])))
+                size += sum(len(x) for x in rows[-1] if isinstance(x, bytes))
+                if size >= _BATCH or k == batch.num_rows - 1:
+                    cols = [pa.array(c, t) for c, t in zip(zip(*rows), types.values())]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), *cols], names=["doc_id", *types])
+                    rows, first, size = [], k + 1, 0
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).cast("binary").alias("raw")).mapInArrow(run, "doc_id long, n_bytes long, jpeg binary")
+    return df.mapInArrow(run, "doc_id long, " + schema)
+
+
+def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes and `jpeg`, the stored form of every whole text."""
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).cast("binary").alias("raw"))
+    return _mapped(texts, lambda raw: (len(raw), write_jpeg(pad(raw))), "n_bytes long, jpeg binary", {"n_bytes": pa.int64(), "jpeg": pa.binary()})
 
 
 def tensors(df: DataFrame, id_col: str = "doc_id", jpeg_col: str = "jpeg") -> DataFrame:
-    """doc_id, height, width and `rgb`, the tensor's bytes row by row."""
+    """doc_id, n_bytes, jpeg and, read from the stored bytes, `payload`, height, width and `rgb`, the tensor row by row; rows without a picture are left out.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, jpeg in enumerate(batch.column(1).to_pylist()):
-                rgb = Picture(jpeg).rgb()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([rgb.shape[0]], pa.int32()), pa.array([rgb.shape[1]], pa.int32()), pa.array([rgb.tobytes()], pa.binary())], names=["doc_id", "height", "width", "rgb"])
+    `payload` is null in pictures that do not come from store(), n_bytes where the input has no such column.
+    """
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(jpeg_col).alias("jpeg")).where("jpeg IS NOT NULL").mapInArrow(run, "doc_id long, height int, width int, rgb binary")
+    def one(n_bytes: int | None, jpeg: bytes) -> tuple:
+        picture = Picture(jpeg)
+        return n_bytes, jpeg, picture.payload() if picture.comment.startswith(_COMMENT) else None, picture.height, picture.width, picture.rgb().tobytes()
 
+    n_bytes = F.col("n_bytes").cast("long") if "n_bytes" in df.columns else F.lit(None).cast("long").alias("n_bytes")
+    files = df.select(F.col(id_col).cast("long").alias("doc_id"), n_bytes, F.col(jpeg_col).alias("jpeg")).where("jpeg IS NOT NULL")
+    types = {"n_bytes": pa.int64(), "jpeg": pa.binary(), "payload": pa.binary(), "height": pa.int32(), "width": pa.int32(), "rgb": pa.binary()}
+    return _mapped(files, one, "n_bytes long, jpeg binary, payload binary, height int, width int, rgb binary", types)
 
-def feature(rgb: np.ndarray) -> str:
-    """Size, mean of each channel, and the tensor's CRC-32."""
-    means = ",".join(f"{m:.2f}" for m in rgb.reshape(-1, 3).mean(0))
-    return f"{rgb.shape[1]}x{rgb.shape[0]};{means};{zlib.crc32(rgb.tobytes()):08x}"
 
+def means(rgb: bytes) -> str:
+    """Mean of each channel of a tensor."""
+    return ",".join(f"{m:.2f}" for m in np.frombuffer(rgb, np.uint8).reshape(-1, 3).mean(0))
 
-def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text, read the stored bytes back and describe both.
 
-    The stored form stays in the worker, so that pictures are not moved for their digests.
-    """
-    types = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+def _channel_means():
+    @F.pandas_udf(T.StringType())
+    def channel_means(rgb: pd.Series) -> pd.Series:
+        return rgb.map(means)
 
-    def one(raw: bytes) -> tuple:
-        jpeg = write_jpeg(pad(raw))
-        picture = Picture(jpeg)
-        got = picture.payload()
-        return len(raw), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(jpeg), hashlib.sha256(jpeg).hexdigest(), feature(picture.rgb())
+    return channel_means
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [one(x) for x in batch.column(1).to_pylist()]
-            cols = list(zip(*rows)) if rows else [()] * len(types)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types.values()))], names=["doc_id", *types])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_column(text_col).cast("binary").alias("raw")).mapInArrow(run, schema)
+def digests(stored: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of the rows of tensors().
+
+    The feature is the tensor's size, the mean of each channel, and its CRC-32.
+    """
+    tail = F.substring("payload", -64, 64)
+    size = F.concat_ws("x", "width", "height")
+    return stored.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
+        F.octet_length("jpeg").cast("long").alias("media_bytes"), F.sha2("jpeg", 256).alias("media_sha256"),
+        F.concat_ws(";", size, _channel_means()("rgb"), F.lower(F.lpad(F.hex(F.crc32("rgb")), 8, "0"))).alias("feature"),
+    )

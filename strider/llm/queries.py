@@ -110,4 +110,4 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(read_table(spark, sf_dir, "documents"))
+    return media.digests(media.tensors(media.store(read_table(spark, sf_dir, "documents"))))

@@ -134,7 +134,7 @@ def test_inverse_transform_equals_the_formula():
     c = (p.coefs[1] * p.quant[0])[0][media._PLACE].reshape(8, 8)
     k = lambda u: np.sqrt(0.125) if u == 0 else 0.5
     want = [[sum(k(u) * k(v) * c[u, v] * np.cos((2 * y + 1) * u * np.pi / 16) * np.cos((2 * x + 1) * v * np.pi / 16) for u in range(8) for v in range(8)) for x in range(8)] for y in range(8)]
-    got = p._plane(1)[:8, :8]
+    got = p._plane(1, 0, 1)[:8, :8]
     assert np.abs(got - np.clip(np.array(want) + 128, 0, 255)).max() <= 0.6
 
 
@@ -146,7 +146,7 @@ def test_grey_picture_without_ac_terms_has_one_colour():
 
 
 def test_media_digests_and_odd_rows(odd_docs):
-    got = media.digests(odd_docs).collect()
+    got = media.digests(media.tensors(media.store(odd_docs))).collect()
     assert len(got) == len(ODD) + 2
     by = {r.doc_id: r for r in got}
     for k, t in enumerate(ODD):
@@ -156,15 +156,107 @@ def test_media_digests_and_odd_rows(odd_docs):
         assert (r.n_bytes, r.payload_bytes) == (len(raw), len(padded))
         assert r.payload_sha256 == hashlib.sha256(padded).hexdigest() and r.tail_crc32 == zlib.crc32(padded[-64:])
         assert r.media_sha256 == hashlib.sha256(media.write_jpeg(padded)).hexdigest()
+        tensor = media.Picture(media.write_jpeg(padded)).rgb()
+        assert r.feature == f"{tensor.shape[1]}x{tensor.shape[0]};{','.join(f'{m:.2f}' for m in tensor.reshape(-1, 3).mean(0))};{zlib.crc32(tensor.tobytes()):08x}"
     same = [r for r in got if r.doc_id == 3]
     assert len(same) == 2 and same[0] == same[1]
-    assert media.digests(odd_docs.limit(0)).count() == 0
+    assert media.digests(media.tensors(media.store(odd_docs.limit(0)))).count() == 0
+
+
+def slow_rgb(p):
+    """Every pixel by the formulas of the standard, from the coefficients."""
+    c = lambda u: np.sqrt(0.5) if u == 0 else 1.0
+    basis = np.array([[c(u) / 2 * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+    out = np.empty((p.height, p.width, 3))
+    for y in range(p.height):
+        for x in range(p.width):
+            s = []
+            for part, (h, v, q) in p.parts.items():
+                px, py = x * h // p.h, y * v // p.v
+                block = p.coefs[part][(py // 8) * p.units[1] * h + px // 8] * p.quant[q]
+                square = np.zeros(64)
+                square[media._ZIGZAG] = block
+                s.append(np.clip(np.rint(basis[:, py % 8] @ square.reshape(8, 8) @ basis[:, px % 8] + 128), 0, 255))
+            luma, cb, cr = s[0], s[1] - 128, s[2] - 128
+            out[y, x] = np.clip([luma + 1.402 * cr, luma - 0.344136 * cb - 0.714136 * cr, luma + 1.772 * cb], 0, 255)
+    return out
+
+
+def test_pixels_equal_the_formulas_of_the_standard(monkeypatch):
+    """Transform, chroma upsampling, colours and strips, at a size that does not fill its units."""
+    p = media.Picture(media.write_jpeg(media.pad(random.Random(5).randbytes(384 * 6))))
+    rng = np.random.default_rng(5)
+    for c in p.coefs:
+        p.coefs[c] = rng.integers(-60, 60, p.coefs[c].shape) // (1 + np.arange(64)) * 4
+    p.height, p.width = p.height - 5, p.width - 3
+    whole = p.rgb()
+    assert np.abs(whole - slow_rgb(p)).max() <= 2
+    monkeypatch.setattr(media, "_STRIP", 1)
+    assert (p.rgb() == whole).all()
+
+
+def foreign(spark, pixels, quality):
+    """A progressive file written by Java's encoder, and its own reading of it."""
+    jvm, (high, wide) = spark.sparkContext._jvm, pixels.shape[:2]
+    image = jvm.java.awt.image.BufferedImage(wide, high, jvm.java.awt.image.BufferedImage.TYPE_INT_RGB)
+    for y in range(high):
+        for x in range(wide):
+            r, g, b = map(int, pixels[y, x])
+            image.setRGB(x, y, r << 16 | g << 8 | b)
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    how = writer.getDefaultWriteParam()
+    how.setProgressiveMode(jvm.javax.imageio.ImageWriteParam.MODE_DEFAULT)
+    how.setCompressionMode(jvm.javax.imageio.ImageWriteParam.MODE_EXPLICIT)
+    how.setCompressionQuality(quality)
+    out = jvm.java.io.ByteArrayOutputStream()
+    sink = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer.setOutput(sink)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), how)
+    sink.flush()
+    return bytes(out.toByteArray()), their_rgb(spark, bytes(out.toByteArray()))
+
+
+def their_rgb(spark, data):
+    jvm = spark.sparkContext._jvm
+    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(data))
+    rgb = [[image.getRGB(x, y) for x in range(image.getWidth())] for y in range(image.getHeight())]
+    return (np.array(rgb)[:, :, None] >> np.array([16, 8, 0])) & 255
+
+
+@pytest.mark.parametrize("quality", [0.4, 0.95])
+def test_foreign_progressive_files_are_read(spark, quality):
+    """Huffman codes, spectral selection and successive approximation of another encoder; its reader smooths chroma, so pictures change slowly."""
+    y, x = np.mgrid[0:45, 0:70]
+    pixels = np.stack([128 + 100 * np.sin(x / 20), 128 + 90 * np.cos(y / 15), 60 + 2 * x - y], 2).clip(0, 255).astype(int)
+    data, theirs = foreign(spark, pixels, quality)
+    p = media.Picture(data)
+    assert data[:2] == b"\xff\xd8" and b"\xff\xc2" in data and (p.height, p.width) == (45, 70)
+    far = np.abs(p.rgb().astype(int) - theirs)
+    assert far.mean() < 1.5 and far.max() <= 14
+    grey, seen = foreign(spark, np.repeat(((x * 7 + y * 5) % 256)[:, :, None], 3, 2), quality)
+    assert np.abs(media.Picture(grey).rgb().astype(int) - seen).max() <= 2
+
+
+def test_files_are_read_by_another_reader(spark):
+    """Its luma plane, which needs no upsampling, is ours."""
+    jpeg = media.write_jpeg(random.Random(9).randbytes(64 * 30))
+    p, jvm = media.Picture(jpeg), spark.sparkContext._jvm
+    reader = jvm.javax.imageio.ImageIO.getImageReadersByFormatName("jpeg").next()
+    reader.setInput(jvm.javax.imageio.ImageIO.createImageInputStream(jvm.java.io.ByteArrayInputStream(jpeg)))
+    raster = reader.readRaster(0, None)
+    assert (raster.getHeight(), raster.getWidth()) == (p.height, p.width)
+    luma = raster.getSamples(0, 0, p.width, p.height, 0, spark.sparkContext._gateway.new_array(jvm.int, p.height * p.width))
+    assert np.abs(np.array(list(luma)).reshape(p.height, p.width) - p._plane(1, 0, p.units[0])[: p.height, : p.width]).max() <= 1
 
 
 def test_tensor_table(spark):
-    df = spark.createDataFrame([(1, "x" * 1000)], "doc_id long, text string")
-    r = media.tensors(media.store(df)).first()
-    assert len(r.rgb) == r.height * r.width * 3
+    df = spark.createDataFrame([(1, "x" * 1000), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in media.tensors(media.store(df)).collect()}
+    for d, text in ((1, "x" * 1000), (2, "")):
+        own = media.Picture(bytes(got[d].jpeg)).rgb()
+        assert bytes(got[d].rgb) == own.tobytes() and own.shape == (got[d].height, got[d].width, 3)
+        assert bytes(got[d].payload) == media.pad(text.encode()) and got[d].n_bytes == len(text)
+    assert media.tensors(spark.createDataFrame([(1, None)], "doc_id long, jpeg binary")).count() == 0
 
 
 def test_vocabularies_stay_outside_the_repository():
