@@ -5,14 +5,15 @@ neighbours and a hot text can be cut between ids. `law` is `bytes`: splitters ar
 placed where the exact number of bytes below them is nearest to k/n of the total.
 
 1. Every task counts rows and bytes between neighbouring probes, with the least and
-   greatest key there; the sums reach the driver. Their number depends on shards and
-   pieces, not on rows.
+   greatest key there; the sums reach the driver. Their number depends on the shards only.
 2. The bracket around each target shrinks to the keys found in its bin, gets new
    evenly spaced probes, and is counted again until the nearer end is within the
    tolerance or one key is left in it.
-3. Rows go to pieces (ranges of about `piece_rows` rows, each inside one shard) in the
-   only exchange, and are numbered there; a piece's first number follows from the
-   counts of the pieces before it. No task sorts a whole shard.
+3. A row's shard is the number of splitters that are not above its key. Inside a shard, rows
+   are dealt to pieces of about `piece_rows` rows by a hash of their key; pieces are counted,
+   and the counts before a piece in its shard give its first slot. Rows go to their pieces in
+   the only exchange and are numbered there. No task sorts a whole shard, and neither pieces
+   nor their counts pass through the driver; their table is broadcast if it is small.
 
 Null text counts as empty and as no bytes; rows with a null id sort before others of
 equal text. Rows repeated in full have one key and stay together. An empty table gives
@@ -22,22 +23,24 @@ an empty result. Columns of the input named like the added ones are replaced.
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import save, text_column
+from .common import fresh, save, text_column
 
 OVERHEAD = 16
 TOLERANCE = 0.0005
 PIECE_ROWS = 200_000
 PROBES = 32
+#: Most pieces whose table is broadcast.
+SMALL_PIECES = 100_000
 _KEYS = 1 << 128
+_ADDED = ("size", "text_crc32", "shard", "slot")
 
 
 def _as_bytes(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -46,6 +49,11 @@ def _as_bytes(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.stack([h.view(np.uint64) ^ flip, ids.view(np.uint64) ^ flip], 1).astype(">u8").view("S16").reshape(-1)
 
 
+def _as_longs(key: int) -> tuple[int, int]:
+    """A key as its (h, id), both signed."""
+    return (key >> 64) - (1 << 63), (key & (1 << 64) - 1) - (1 << 63)
+
+
 def _probe_array(probes: list[int]) -> np.ndarray:
     return np.array([p.to_bytes(16, "big") for p in probes], "S16")
 
@@ -123,41 +131,31 @@ def splitters(keys: DataFrame, targets: list[int], tolerances: list[int], probes
 def shard(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """The rows of `df` with size, text_crc32, shard (0 to shards - 1) and slot (from 0 in each shard)."""
     text = text_column(text_col)
+    df = df.drop(*(c for c in df.columns if c.lower() in _ADDED and c not in (id_col, text_col)))
+    h, key, piece, first = fresh(df, "h", "key", "piece", "first")
     marked = df.withColumns({
         "size": (F.octet_length(text) + OVERHEAD).cast("long"),
         "text_crc32": F.crc32(text.cast("binary")),
-        "__h": F.xxhash64(text),
-        "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))),
+        h: F.xxhash64(text),
+        key: F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))),
     })
-    keys = save(marked.select(F.col("__h").alias("h"), F.col("__id").alias("id"), "size"), "keys")
+    keys = save(marked.select(F.col(h).alias("h"), F.col(key).alias("id"), "size"), "keys")
     rows, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    each = max(1, math.ceil(rows / shards / piece_rows))
-    n = shards * each
-    targets = [total * j // n for j in range(1, n)]
-    tight, loose = int(total / shards * tolerance), total // n // 4
-    cuts = splitters(keys, targets, [tight if j % each == 0 else loose for j in range(1, n)]) if rows else []
-    shard_cuts = sorted(c for j, c in enumerate(cuts, 1) if j % each == 0)
-    cuts = sorted(set(cuts))
-    counted = _histogram(keys, cuts) if cuts else {}
-    shard_of = np.array([0, *(bisect_right(shard_cuts, c) for c in cuts)], np.int32)
-    first, seen = [], {}
-    for k in range(len(cuts) + 1):
-        s = int(shard_of[k])
-        first.append(seen.get(s, 0))
-        seen[s] = first[-1] + counted.get(k, (0,))[0]
-    first = np.array(first, np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = _probe_array(cuts) if cuts else np.zeros(0, "S16")
-        for batch in batches:
-            h, ids = _columns(batch, "__h", "__id")
-            piece = np.searchsorted(at, _as_bytes(h, ids), "right")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(piece, pa.int32()), pa.array(shard_of[piece], pa.int32()), pa.array(first[piece], pa.int64())], names=[*batch.schema.names, "__piece", "shard", "__first"])
-
-    base = marked.drop("shard", "slot", "__piece", "__first")
-    added = [T.StructField("__piece", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("__first", T.LongType())]
-    schema = T.StructType([*base.schema.fields, *added])
-    placed = base.mapInArrow(run, schema)
-    inside = Window.partitionBy("__piece").orderBy("__h", "__id", "text_crc32", "size")
-    return placed.withColumn("slot", F.col("__first") + F.row_number().over(inside) - 1).drop("__h", "__id", "__piece", "__first")
-
+    targets = [total * j // shards for j in range(1, shards)]
+    cuts = sorted(splitters(keys, targets, [int(total / shards * tolerance)] * len(targets))) if rows else []
+    pieces = max(1, math.ceil(rows / shards / piece_rows))
+
+    def place(h: str, key: str) -> dict[str, Column]:
+        at = F.struct(F.col(h).alias("h"), F.col(key).alias("id"))
+        below = F.filter(F.array(*(F.struct(F.lit(c).cast("long").alias("h"), F.lit(i).cast("long").alias("id")) for c, i in map(_as_longs, cuts))), lambda c: c <= at)
+        return {"shard": (F.size(below) if cuts else F.lit(0)).cast("int"), piece: F.pmod(F.xxhash64(h, key), F.lit(pieces)).cast("int")}
+
+    counts = keys.withColumns(place("h", "id")).groupBy("shard", piece).count()
+    upto = Window.partitionBy("shard").orderBy(piece)
+    firsts = counts.select("shard", piece, (F.sum("count").over(upto) - F.col("count")).alias(first))
+    if shards * pieces <= SMALL_PIECES:
+        firsts = F.broadcast(firsts)
+    placed = marked.withColumns(place(h, key)).join(firsts, ["shard", piece])
+    inside = Window.partitionBy("shard", piece).orderBy(h, key, "text_crc32", "size")
+    numbered = placed.withColumn("slot", F.col(first) + F.row_number().over(inside) - 1)
+    return numbered.select(*df.columns, *_ADDED)
