@@ -11,32 +11,40 @@ CORE = (0, 5, 6, 11, 12)
 CRITICAL = ("NO_KEYPOINTS", "NO_VALID_BODY", "NO_DETECTION", "TOO_SHORT_FOR_MOTION_CHECK", "NO_VALID_COMPARISONS")
 
 
-def coverage(joints: DataFrame, min_confidence: float = 0.3, min_ratio: float = 0.4) -> DataFrame:
-    """clip, frames, ratio of frames with three core joints, issue (null if enough)."""
-    seen = F.col("j").isin(*CORE) & (F.col("x") > 0) & (F.col("y") > 0) & (F.col("conf") > min_confidence)
+def coverage(joints: DataFrame, clips: DataFrame | None = None, min_confidence: float = 0.3, min_ratio: float = 0.4) -> DataFrame:
+    """clip, frames, ratio of frames with three core joints, issue (null if enough).
+
+    A null confidence counts as one. Clips of `clips` (clip) without any frame have no keypoints.
+    """
+    seen = F.col("j").isin(*CORE) & (F.col("x") > 0) & (F.col("y") > 0) & (F.coalesce("conf", F.lit(1.0)) > min_confidence)
     per = joints.groupBy("clip", "frame").agg(F.count(F.when(seen, 1)).alias("core"))
     clip = per.groupBy("clip").agg(F.count(F.lit(1)).alias("frames"), F.avg((F.col("core") >= 3).cast("double")).alias("ratio"))
+    if clips is not None:
+        clip = clips.select("clip").distinct().join(clip, "clip", "left").withColumn("frames", F.coalesce("frames", F.lit(0)))
     text = F.concat(F.lit("INSUFFICIENT_COVERAGE_"), F.floor(F.col("ratio") * 100).cast("string"), F.lit("%"))
-    return clip.withColumn("issue", F.when(F.col("ratio") < min_ratio, text))
+    return clip.withColumn("issue", F.when(F.col("frames") == 0, "NO_KEYPOINTS").when(F.col("ratio") < min_ratio, text))
 
 
 def _moved(joints: DataFrame) -> DataFrame:
-    """Joints seen in a frame and the next one, with their displacement and rank among them."""
-    w = Window.partitionBy("clip", "j").orderBy("frame")
-    pairs = joints.select("clip", "frame", "j", "x", "y", F.lead("x").over(w).alias("nx"), F.lead("y").over(w).alias("ny"))
-    both = pairs.where("x > 0 AND y > 0 AND nx > 0 AND ny > 0")
-    rank = Window.partitionBy("clip", "frame")
-    return both.select("clip", "frame", "x", "y", F.hypot(F.col("nx") - F.col("x"), F.col("ny") - F.col("y")).alias("d"), F.row_number().over(rank.orderBy("j")).alias("r"), F.count(F.lit(1)).over(rank).alias("n")).where("n >= 3")
+    """clip, frame and `m`, the joints seen in a frame and the next one, each with x, y and displacement; frames are rows with arrays until then."""
+    seen = F.array_sort(F.collect_list(F.struct("j", "x", "y")))
+    rows = joints.groupBy("clip", "frame").agg(seen.alias("a")).withColumn("b", F.lead("a").over(Window.partitionBy("clip").orderBy("frame")))
+    both = F.filter(F.zip_with("a", "b", lambda p, q: F.struct(p["x"].alias("x"), p["y"].alias("y"), q["x"].alias("nx"), q["y"].alias("ny"))), lambda r: (r["x"] > 0) & (r["y"] > 0) & (r["nx"] > 0) & (r["ny"] > 0))
+    moved = F.transform(both, lambda r: F.struct(r["x"].alias("x"), r["y"].alias("y"), F.hypot(r["nx"] - r["x"], r["ny"] - r["y"]).alias("d")))
+    return rows.where("b IS NOT NULL").select("clip", "frame", moved.alias("m")).where(F.size("m") >= 3)
 
 
-def motion(joints: DataFrame, least_motion: float = 0.02, least_variation: float = 5.0) -> DataFrame:
-    """clip, frames, compared pairs, mean motion, variation, issue."""
+def motion(joints: DataFrame, clips: DataFrame | None = None, least_motion: float = 0.02, least_variation: float = 5.0) -> DataFrame:
+    """clip, frames, compared pairs, mean motion, variation, issue; every frame has all joints."""
     moved = _moved(joints)
-    per = moved.groupBy("clip", "frame").agg((F.avg("d") / 100).alias("m"), F.count(F.lit(1)).alias("n"))
-    clip = per.groupBy("clip").agg(F.count(F.lit(1)).alias("compared"), F.avg("m").alias("motion"), F.min("n").alias("shortest"))
-    spread = moved.groupBy("clip", "r").agg(F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    variation = spread.join(clip.select("clip", "shortest"), "clip").where("r <= shortest").groupBy("clip").agg(F.avg((F.col("sx") + F.col("sy")) / 2).alias("variation"))
-    out = joints.groupBy("clip").agg(F.countDistinct("frame").alias("frames")).join(clip, "clip", "left").join(variation, "clip", "left")
+    total = F.aggregate("m", F.lit(0.0), lambda s, r: s + r["d"])
+    clip = moved.groupBy("clip").agg(F.count(F.lit(1)).alias("compared"), F.avg(total / F.size("m") / 100).alias("motion"), F.min(F.size("m")).alias("shortest"))
+    spread = moved.select("clip", F.posexplode("m").alias("r", "p")).groupBy("clip", "r").agg(F.stddev_pop("p.x").alias("sx"), F.stddev_pop("p.y").alias("sy"))
+    variation = spread.join(clip.select("clip", "shortest"), "clip").where("r < shortest").groupBy("clip").agg(F.avg((F.col("sx") + F.col("sy")) / 2).alias("variation"))
+    counts = joints.groupBy("clip").agg(F.countDistinct("frame").alias("frames"))
+    if clips is not None:
+        counts = clips.select("clip").distinct().join(counts, "clip", "left").withColumn("frames", F.coalesce("frames", F.lit(0)))
+    out = counts.join(clip, "clip", "left").join(variation, "clip", "left")
     moves = (F.col("motion") > least_motion) | ((F.col("compared") > 1) & (F.col("variation") > least_variation))
     issue = F.when(F.col("frames") < 2, "TOO_SHORT_FOR_MOTION_CHECK").when(F.col("compared").isNull(), "NO_VALID_COMPARISONS").when(~moves, "NO_MOTION")
     return out.select("clip", "frames", F.coalesce("compared", F.lit(0)).alias("compared"), "motion", "variation", issue.alias("issue"))
@@ -71,16 +79,31 @@ def tracking(boxes: DataFrame, most_breaks: float = 0.1, most_jump: float = 2.0)
     return out.withColumn("issue", F.when(share > most_breaks, text))
 
 
-def classify(joints: DataFrame, boxes: DataFrame, cuts: DataFrame | None = None, min_frames: int = 20) -> DataFrame:
-    """clip, issues in order, status. `cuts` (clip) names clips with hard cuts."""
-    cov = coverage(joints).select("clip", "frames", F.col("issue").alias("cov"))
-    out = cov.join(motion(joints).select("clip", F.col("issue").alias("mot")), "clip").join(tracking(boxes).select("clip", F.col("issue").alias("trk")), "clip", "left")
-    if cuts is not None:
-        out = out.join(cuts.select("clip", F.lit("HARD_CUTS_DETECTED").alias("cut")), "clip", "left")
-    else:
-        out = out.withColumn("cut", F.lit(None).cast("string"))
+def classify(joints: DataFrame, boxes: DataFrame, cuts: DataFrame | None = None, switches: DataFrame | None = None, clips: DataFrame | None = None, min_frames: int = 20) -> DataFrame:
+    """clip, issues in order, status.
+
+    `cuts` (clip, cut_frames) names clips with hard cuts and their frames, `switches` (clip, switch_frames)
+    the frames in which the tracker changed the person: more than five and a twentieth of the boxes stand
+    for the tracking check. `clips` (clip) are all clips, also such without frames.
+    """
+    cov = coverage(joints, clips).select("clip", "frames", F.col("issue").alias("cov"))
+    out = cov.join(motion(joints, clips).select("clip", F.col("issue").alias("mot")), "clip").join(tracking(boxes).select("clip", F.col("issue").alias("trk")), "clip", "left")
+    out = out.join(boxes.groupBy("clip").agg(F.count(F.lit(1)).alias("boxes")), "clip", "left")
+    nothing = F.lit(None).cast("array<long>")
+    out = out.join(cuts.select("clip", "cut_frames", F.lit("HARD_CUTS_DETECTED").alias("cut")), "clip", "left") if cuts is not None else out.withColumns({"cut": F.lit(None).cast("string"), "cut_frames": nothing})
+    out = out.join(switches.select("clip", "switch_frames"), "clip", "left") if switches is not None else out.withColumn("switch_frames", nothing)
+    scenes = F.concat(F.lit("SCENE_TRANSITIONS_AT_FRAMES_["), F.array_join(F.transform(F.slice("cut_frames", 1, 3), lambda k: k.cast("string")), ", "), F.lit("]"))
+    many = F.size("switch_frames") > F.greatest(F.lit(5.0), F.coalesce("boxes", F.lit(0)) * 0.05)
+    tracked = F.when(many, F.concat(F.lit("EXCESSIVE_TRACKING_SWITCHES_"), F.size("switch_frames").cast("string"), F.lit("_FRAMES"))).otherwise(F.col("trk"))
     short = F.when(F.col("frames") < min_frames, F.concat(F.lit("TOO_SHORT_"), F.col("frames").cast("string"), F.lit("_frames")))
-    return out.select("clip", F.array_compact(F.array("cut", "trk", short, "cov", "mot")).alias("issues"), "frames").select("clip", "issues", status_of(F.col("issues")).alias("status"))
+    issues = F.array_compact(F.array("cut", F.when(F.size("cut_frames") > 0, scenes), tracked, short, "cov", "mot"))
+    return out.select("clip", issues.alias("issues")).select("clip", "issues", status_of(F.col("issues")).alias("status"))
+
+
+def legacy(joints: DataFrame) -> DataFrame:
+    """clip, issues, status of the old validator: it passes a zero box for every frame, and asks for 25 frames."""
+    zero = joints.select("clip", "frame", *(F.lit(0.0).alias(c) for c in ("x1", "y1", "x2", "y2"))).distinct()
+    return classify(joints, zero, min_frames=25)
 
 
 def status_of(issues):

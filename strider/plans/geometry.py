@@ -192,11 +192,20 @@ def drawable_bones(spark, sf_dir):
 
 @query(views.sql(f"""+b AS (SELECT a.clip, a.frame, edge::BIGINT AS edge, (a.px + c.px) / 2 AS mx, (a.py + c.py) / 2 AS my, (a.pz + c.pz) / 2 AS mz, c.px - a.px AS x, c.py - a.py AS y, c.pz - a.pz AS z FROM (VALUES {_E}) t(edge, i, k) JOIN joints a ON a.j = i JOIN joints c ON c.j = k AND a.clip = c.clip AND a.frame = c.frame),
 l AS (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM b), u AS (SELECT *, greatest(-1, least(1, z / n)) AS d, -y / n AS qx, x / n AS qy FROM l)
-SELECT clip, frame, edge, round(mx, 4) + 0.0 AS mx, round(my, 4) + 0.0 AS my, round(mz, 4) + 0.0 AS mz, round(n / 2, 4) + 0.0 AS half, round(CASE WHEN d > 0.9999 THEN 1 WHEN d < -0.9999 THEN 0 ELSE (1 + d) / sqrt((1 + d) ** 2 + qx * qx + qy * qy) END, 3) + 0.0 AS qw FROM u""", "joints"))
+SELECT clip, frame, edge, round(mx, 4) + 0.0 AS mx, round(my, 4) + 0.0 AS my, round(mz, 4) + 0.0 AS mz, round(n / 2, 4) + 0.0 AS half, round(CASE WHEN d > 0.9999 THEN 1 WHEN d < -0.9999 THEN 0 ELSE (1 + d) / sqrt((1 + d) ** 2 + qx * qx + qy * qy) END, 3) + 0.0 AS qw,
+  round(CASE WHEN d > 0.9999 OR d < -0.9999 THEN 0 ELSE qx / sqrt((1 + d) ** 2 + qx * qx + qy * qy) END, 3) + 0.0 AS qx, round(CASE WHEN d > 0.9999 THEN 0 WHEN d < -0.9999 THEN 1 ELSE qy / sqrt((1 + d) ** 2 + qx * qx + qy * qy) END, 3) + 0.0 AS qy, 0.0::DOUBLE AS qz FROM u""", "joints"))
 def capsules(spark, sf_dir):
     e = _edges(spark, sf_dir)
     e = e.withColumns({f"d{k}": F.col(f"b_p{c}") - F.col(f"a_p{c}") for k, c in enumerate("xyz")})
     e = e.withColumn("n", vec.norm(tuple(F.col(f"d{k}") for k in range(3))))
     e = e.withColumns({f"u{k}": F.col(f"d{k}") / (F.col("n") + 1e-10) for k in range(3)})
     q = vec.quaternion(vec.lit(0, 0, 1), tuple(F.col(f"u{k}") for k in range(3)))
-    return e.select("clip", "frame", "edge", *(R((F.col(f"a_p{c}") + F.col(f"b_p{c}")) / 2).alias(f"m{c}") for c in "xyz"), R(F.col("n") / 2).alias("half"), (F.round(q[0], 3) + 0.0).alias("qw"))
+    return e.select("clip", "frame", "edge", *(R((F.col(f"a_p{c}") + F.col(f"b_p{c}")) / 2).alias(f"m{c}") for c in "xyz"), R(F.col("n") / 2).alias("half"), *((F.round(c, 3) + 0.0).alias(f"q{n}") for n, c in zip("wxyz", q)))
+
+
+@query(views.sql("SELECT clip, frame, j, greatest(0, least(639, round_even(x, 0)))::BIGINT AS u, greatest(0, least(479, round_even(y, 0)))::BIGINT AS v FROM joints WHERE conf >= 0.1 AND x > -640 AND x < 1280 AND y > -480 AND y < 960", "joints"))
+def drawn_points(spark, sf_dir):
+    """Joints near the picture, rounded (halves to even) and clamped into it."""
+    near = F.col("x").isNotNull() & ~F.isnan("x") & ~F.isnan("y") & (F.col("x") > -640) & (F.col("x") < 1280) & (F.col("y") > -480) & (F.col("y") < 960)
+    at = lambda c, most: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.rint(c))).cast("long")
+    return views.joints(spark, sf_dir).where((F.col("conf") >= 0.1) & near).select("clip", "frame", "j", at("x", 639).alias("u"), at("y", 479).alias("v"))

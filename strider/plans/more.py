@@ -107,7 +107,7 @@ def symmetric_range(spark, sf_dir):
     return views.joints(spark, sf_dir).groupBy("clip").agg(R(1.1 * F.max(F.greatest(F.abs("px"), F.abs("py"), F.abs("pz")))).alias("half"))
 
 
-@query(views.sql("SELECT clip, round(avg(x), 3) + 0.0 AS cx, round(avg(y), 3) + 0.0 AS cy, round(480 * 0.85 / greatest(max(x) - min(x), max(y) - min(y), 1e-6), 4) + 0.0 AS scale FROM joints WHERE abs(x) + abs(y) > 1 AND clip % 5 <> 0 GROUP BY clip", "joints"))
+@query(views.sql("SELECT clip, round(avg(x), 3) + 0.0 AS cx, round(avg(y), 3) + 0.0 AS cy, round(480 * 0.85 / greatest(max(x) - min(x), max(y) - min(y), 1e-6), 4) + 0.0 AS scale FROM joints WHERE abs(x) + abs(y) > 1 GROUP BY clip", "joints"))
 def common_centring(spark, sf_dir):
     j = views.joints(spark, sf_dir).where("abs(x) + abs(y) > 1")
     span = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-6))
@@ -161,19 +161,21 @@ def ortho_project(spark, sf_dir):
 _UP = "u AS (SELECT clip, frame, sqrt((e[31] - (e[10] + e[19]) / 2) ** 2 + (e[32] - (e[11] + e[20]) / 2) ** 2 + (e[33] - (e[12] + e[21]) / 2) ** 2) AS up FROM frames)"
 
 
-@query(views.sql(f"+{_UP}, m AS (SELECT clip, avg(abs(d)) AS motion FROM (SELECT clip, e[k + 1] - lag(e[k + 1]) OVER (PARTITION BY clip, k ORDER BY frame) AS d FROM frames, range(51) t(k)) GROUP BY clip), s AS (SELECT clip // 3 AS class, clip, min(up) * avg(up) * any_value(motion) AS score FROM u JOIN m USING (clip) GROUP BY clip HAVING count(*) >= 15) SELECT class, clip FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY round(score, 9) DESC, clip) AS r FROM s) WHERE r = 1", "frames"))
+@query(views.sql(f"+{_UP}, m AS (SELECT clip, avg(abs(d)) AS motion FROM (SELECT clip, e[k + 1] - lag(e[k + 1]) OVER (PARTITION BY clip, k ORDER BY frame) AS d FROM frames, range(51) t(k)) GROUP BY clip), fi AS (SELECT clip FROM (SELECT clip, row_number() OVER (PARTITION BY clip // 30 ORDER BY clip) AS r FROM (SELECT DISTINCT clip FROM frames)) WHERE r <= 30), s AS (SELECT clip // 30 AS class, clip, min(up) * avg(up) * any_value(motion) AS score FROM u JOIN m USING (clip) SEMI JOIN fi USING (clip) GROUP BY clip HAVING count(*) >= 30) SELECT class, clip FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY round(score, 9) DESC, clip) AS r FROM s) WHERE r = 1", "frames"))
 def trajectory_pick(spark, sf_dir):
-    """For each class the clip with the best product of least and mean uprightness and motion."""
+    """For each class, among its first 30 clips and those of 30 frames or more, the clip with the best product of least and mean uprightness and motion."""
     p = views.poses(spark, sf_dir)
+    files = p.select("clip").distinct().withColumn("r", F.row_number().over(Window.partitionBy(F.floor(F.col("clip") / 30)).orderBy("clip"))).where("r <= 30").select("clip")
+    p = p.join(files, "clip", "left_semi")
     ankles = vec.scale(vec.add(vec.at("pose", 3), vec.at("pose", 6)), 0.5)
     w = Window.partitionBy("clip").orderBy("frame")
     p = p.select("clip", "frame", vec.norm(vec.sub(vec.at("pose", 10), ankles)).alias("up"), F.aggregate(F.zip_with("pose", F.lag("pose").over(w), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"))
-    s = p.groupBy("clip").agg(F.count(F.lit(1)).alias("n"), (F.min("up") * F.avg("up") * F.avg("d") / 51).alias("score")).where("n >= 15").withColumn("class", F.floor(F.col("clip") / 3))
+    s = p.groupBy("clip").agg(F.count(F.lit(1)).alias("n"), (F.min("up") * F.avg("up") * F.avg("d") / 51).alias("score")).where("n >= 30").withColumn("class", F.floor(F.col("clip") / 30))
     best = Window.partitionBy("class").orderBy(F.round("score", 9).desc(), "clip")
     return s.withColumn("r", F.row_number().over(best)).where("r = 1").select("class", "clip")
 
 
-@query("SELECT 'Video: ' || doc_id || chr(10) || 'Action Class: ' || source || chr(10) || chr(10) || 'Description:' || chr(10) || substr(text, 1, 20) AS content FROM documents WHERE text <> '' AND NOT starts_with(text, 'Error')")
+@query("SELECT 'Video: ' || doc_id || chr(10) || 'Action Class: ' || source || chr(10) || chr(10) || 'Description:' || chr(10) || text AS content FROM documents WHERE text <> '' AND NOT starts_with(text, 'Error')")
 def caption_file(spark, sf_dir):
     """Caption files of accepted captions, with the whole text."""
     d = views.table(spark, sf_dir, "documents").where((F.col("text") != "") & ~F.startswith("text", F.lit("Error")))

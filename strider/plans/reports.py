@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.windows import before, ranked
@@ -44,10 +45,33 @@ def running_counts(spark, sf_dir):
     return c.select(((F.col("b") + 1) * 100).alias("rn"), (F.col("before_v") + F.col("v")).alias("valid"), (F.col("before_e") + F.col("e")).alias("error"))
 
 
-@query(views.sql("+t AS (SELECT class, count(*) AS total FROM results GROUP BY class) SELECT class, total FROM t ORDER BY total DESC, class LIMIT 10", "results"))
+def top_or_all(totals, key: str, most: int = 20, top: int = 10):
+    """Rows by falling total: all if they are at most `most`, else the first `top`. No task sees more than `most` + 1 rows after the sort."""
+    order = F.desc("total"), key
+    first = totals.orderBy(*order).limit(most + 1)
+    n = first.agg(F.count(F.lit(1)).alias("n"))
+    ranked_ = first.withColumn("r", F.row_number().over(Window.orderBy(*order)))
+    return ranked_.join(F.broadcast(n)).where((F.col("n") <= most) | (F.col("r") <= top)).select(*totals.columns)
+
+
+@query(views.sql("+t AS (SELECT class, count(*) AS total FROM results GROUP BY class) SELECT class, total FROM t QUALIFY count(*) OVER () <= 20 OR row_number() OVER (ORDER BY total DESC, class) <= 10", "results"))
 def top_classes(spark, sf_dir):
-    """A top-k report."""
-    return views.results(spark, sf_dir).groupBy("class").agg(F.count(F.lit(1)).alias("total")).orderBy(F.desc("total"), "class").limit(10)
+    """A top-k report over few classes: all of them."""
+    return top_or_all(views.results(spark, sf_dir).groupBy("class").agg(F.count(F.lit(1)).alias("total")), "class")
+
+
+@query(views.sql("+t AS (SELECT id % 37 AS class, count(*) AS total FROM results GROUP BY 1) SELECT class, total FROM t QUALIFY count(*) OVER () <= 20 OR row_number() OVER (ORDER BY total DESC, class) <= 10", "results"))
+def top_many_classes(spark, sf_dir):
+    """The same over many classes: the ten largest."""
+    return top_or_all(views.results(spark, sf_dir).groupBy((F.col("id") % 37).alias("class")).agg(F.count(F.lit(1)).alias("total")), "class")
+
+
+@query(views.sql("+m AS (SELECT class AS steps, avg(time) AS mean FROM results GROUP BY class) SELECT steps, round(mean, 4) + 0.0 AS mean, row_number() OVER (ORDER BY round(mean, 9), steps) AS place FROM m QUALIFY place <= 10", "results"))
+def step_ranking(spark, sf_dir):
+    """The ten best step counts: a top-k report, ranked after the limit."""
+    m = views.results(spark, sf_dir).groupBy(F.col("class").alias("steps")).agg(F.avg("time").alias("m"))
+    order = F.round("m", 9), "steps"
+    return m.orderBy(*order).limit(10).select("steps", R("m").alias("mean"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
 
 
 @query(views.sql("SELECT class, round(count(*) / (sum(time) / 60), 4) + 0.0 AS rate, round((1000 - count(*)) / (count(*) / (sum(time) / 60)), 4) + 0.0 AS eta FROM results GROUP BY class", "results"))
