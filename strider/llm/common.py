@@ -13,23 +13,53 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is named."""
+    """The cluster's shared folder; one of our own only where none is named and there is no cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     return (named or "/tmp/strider-checkpoints").rstrip("/")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def keep_until_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver's JVM ends."""
+    files, where = _place(spark, path)
+    files.deleteOnExit(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, where = _place(spark, path)
+    files.delete(where, True)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/strider/{name}-{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Cut lineage: write `df` to the shared folder and read it back.
 
-    The files outlive any executor. They go when the driver's JVM ends.
+    The files outlive any executor. They go when the driver's JVM ends, or before by delete().
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strider/{name}-{uuid.uuid4().hex}"
+    path = path or new_path(df.sparkSession, name)
+    keep_until_exit(df.sparkSession, path)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made from `names` that `df` does not have, in any case of letters."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"{name}_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def parts(spark: SparkSession) -> int:
@@ -51,7 +81,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Every round is written to the shared folder, which bounds the lineage.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = save(e, "edges")
+    spark, path = edges.sparkSession, new_path(edges.sparkSession, "edges")
+    e = save(e, "edges", path)
     last = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -59,7 +90,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = save(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, path = path, new_path(spark, "edges")
+        e = save(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges", path)
+        delete(spark, old)
         state = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.hash("u", "v"))).first()
         if state == last:
             break
