@@ -14,14 +14,16 @@ word edits of it.
    differing places (Chakraborty, Goldenberg, Koucky, "Streaming algorithms for embedding
    and computing edit distance", 2016).
 3. *Bit sampling.* `walks` walks with `tables` tables each take `places` random places as a
-   key. Windows and items of one size that share a key are candidates. The defaults come
-   from measured recall (see tests).
+   key, three of items of up to 100 words, two of longer ones. Windows and items of one
+   size that share a key are candidates. The defaults come from measured recall, of items
+   of up to 1,000 words with all the edits allowed (see tests). Windows are embedded in
+   batches of a bounded number of places, however long the items are.
 4. *Verification.* The least edit distance between the item and any stretch of the window,
    by Myers' bit-parallel recurrence over words.
 
 A text is handled by itself, so nothing is shuffled but leaks. Items are shipped to the
-workers in blocks of at most `block_bytes`, one pass over the texts for each block, so the
-broadcast is bounded whatever the benchmark's size.
+workers in blocks of at most about `block_bytes` of texts and their index, one pass over the
+texts for each block, so the broadcast is bounded whatever the benchmark's size.
 
 Null or empty texts and items have no words and no leaks. Items are told apart by id; of
 rows that repeat an id the words of each are looked for, and the nearest counts. Rows with
@@ -50,6 +52,10 @@ TABLES = 12
 PLACES = 3
 BLOCK_BYTES = 64 << 20
 _WORD_BYTES = bytes(b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+#: Numbers in the embedding of one batch of windows, however long they are.
+_NUMBERS = 1 << 19
+#: About what an item's keys take in an index, and each of its words; block_bytes counts them.
+_ITEM_BYTES, _WORD_COST = 400 + WALKS * TABLES * 16, 150
 _GONE = -1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,6 +68,11 @@ def edits(m: int, similarity: float = SIMILARITY) -> int:
     return int(m * (1 - similarity) + 1e-9)
 
 
+def places_of(m: int) -> int:
+    """Places in a key: where the allowed edits are many, the walks part for longer, and shorter keys keep the recall (see tests)."""
+    return PLACES if m <= 100 else PLACES - 1
+
+
 def gram_size(m: int) -> int:
     return 3 if m >= 6 else min(m, 2)
 
@@ -91,7 +102,7 @@ def nearest(item: list[int], text: list[int]) -> tuple[int, int]:
 class Items:
     """Items by size, with their walks' keys; made once for each block and shipped to the workers."""
 
-    def __init__(self, items: list[tuple[int, bytes]], similarity: float = SIMILARITY, walks: int = WALKS, tables: int = TABLES, places: int = PLACES, seed: int = 11):
+    def __init__(self, items: list[tuple[int, bytes]], similarity: float = SIMILARITY, walks: int = WALKS, tables: int = TABLES, places: int | None = None, seed: int = 11):
         self.vocabulary: dict[bytes, int] = {}
         found: dict[int, list[tuple[int, list[int]]]] = {}
         for item, raw in items:
@@ -112,7 +123,7 @@ class Items:
         for m in sorted(found):
             steps = 2 * m
             moves = rng.integers(0, 2**63, (walks, steps), np.uint64)
-            spots = rng.integers(0, steps, (walks, tables, places))
+            spots = rng.integers(0, steps, (walks, tables, places or places_of(m)))
             own = found[m]
             keys = self._keys(np.array([ids for _, ids in own]), moves, spots)
             flat = keys.reshape(-1)
@@ -203,7 +214,7 @@ class Items:
         best: list[dict[tuple[int, ...], tuple[int, int, int]]] = [{} for _ in raws]
         for m, own in windows.items():
             d, _, moves, spots, names, items, keys, owners = self.sizes[m]
-            for part in _batches(own):
+            for part in _batches(own, max(1, _NUMBERS // (2 * m))):
                 which = np.repeat([t for t, _ in part], [len(s) for _, s in part])
                 starts = np.concatenate([s for _, s in part])
                 rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(d, np.int64), texts[t], np.zeros(m + d, np.int64)]), m)[s + d] for t, s in part])
@@ -223,7 +234,7 @@ class Items:
         return [[(name[0] if len(name) == 1 else None, end, near, m) for name, (near, end, m) in sorted(x.items(), key=lambda y: (len(y[0]), y[0]))] for x in best]
 
 
-def _batches(own: list[tuple[int, np.ndarray]], most: int = 4096) -> Iterator[list[tuple[int, np.ndarray]]]:
+def _batches(own: list[tuple[int, np.ndarray]], most: int) -> Iterator[list[tuple[int, np.ndarray]]]:
     """Windows in groups of about `most`."""
     part, n = [], 0
     for t, starts in own:
@@ -252,15 +263,16 @@ def _runs(pairs: set[tuple[int, int, int]], d: int) -> Iterator[tuple[int, int,
 
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, null_ids: bool = False) -> Iterator[list[tuple[int | None, bytes]]]:
-    """The benchmark's rows, those without an id if `null_ids`, in blocks of bounded size, one block at a time on the driver."""
+    """The benchmark's rows, those without an id if `null_ids`, in blocks of bounded size, counted with their index, one block at a time on the driver."""
     block, size = [], 0
     rows = benchmark.select(F.col(id_col).cast("long"), text_column(text_col).cast("binary")).where(F.lit(null_ids) | F.col(id_col).isNotNull())
     for item, raw in rows.toLocalIterator():
-        if block and size + len(raw) > block_bytes:
+        cost = len(raw) + _ITEM_BYTES + _WORD_COST * (1 + len(raw) // 6)
+        if block and size + cost > block_bytes:
             yield block
             block, size = [], 0
         block.append((item, bytes(raw)))
-        size += len(raw)
+        size += cost
     if block:
         yield block
 
