@@ -1,6 +1,7 @@
 """Classifiers on held-out folds and odd rows; the pipeline against its stages by brute force."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -11,7 +12,8 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strider.llm import bpe, queries, quality, stages, toxicity
+from strider.llm import bpe, queries, quality, sharding, stages, toxicity
+from strider.llm.common import shared_dir
 
 ODD = [(9001, None), (9002, ""), (9003, "word"), (None, "null id"), (9004, "x" * 60_000), (9004, "x" * 60_000)]
 CLASH = "doc_id long, text string, score double, raw string, x string, y double, fold int, p int"
@@ -223,14 +225,36 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
         assert (got[d].n_tokens, got[d].decoded_sha256) == (len(ids), hashlib.sha256(t.encode()).hexdigest())
 
 
-def test_stages_keep_columns_and_odd_rows(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30).withColumn("__score", F.lit("x")).withColumn("own", F.lit(None).cast("int"))
-    odd = spark.createDataFrame([(d, t, None, None, None, "x", None) for d, t in ODD], docs.schema)
-    for rows in (docs.unionByName(odd), docs.limit(0)):
+CLASHING = ["score", "__score", "lines", "gone", "Gone_", "__id", "__own", "__gone_at", "id", "own", "gone_at", "other", "leak", "__leaked", "fp", "component_id"]
+
+
+def test_stages_keep_columns_their_values_and_odd_rows(spark, sf_dir):
+    extra = {c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHING}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30)
+    odd = spark.createDataFrame([(d, t, None, None, None) for d, t in ODD], docs.schema)
+    rows = docs.unionByName(odd).withColumns(extra)
+    for some in (rows, rows.limit(0)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
-            out = stage(spark, rows, sf_dir)
-            assert out.columns == docs.columns, name
-            assert out.count() <= rows.count(), name
+            out = stage(spark, some, sf_dir)
+            assert out.columns == rows.columns, name
+            got = out.collect()
+            assert len(got) <= 36, name
+            assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in got for c in CLASHING), name
+
+
+def test_shards_keep_clashing_columns(spark):
+    names = ["h", "id", "key", "piece", "first", "__h", "__id", "__piece", "__first", "below"]
+    docs = spark.createDataFrame([(k, f"text {k}", "old") for k in range(20)], "doc_id long, text string, shard string").withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names})
+    got = sharding.shard(docs, 3).collect()
+    assert len(got) == 20 and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names) and {r.shard for r in got} == {0, 1, 2}
+
+
+def test_no_stage_folder_is_left_but_the_last(spark, sf_dir):
+    files = lambda: {n for n in os.listdir(f"{shared_dir(spark).removeprefix('file:')}/strider") if n.startswith("pipeline-")}
+    os.makedirs(f"{shared_dir(spark).removeprefix('file:')}/strider", exist_ok=True)
+    before = files()
+    corpus_pipeline.run(spark, sf_dir)
+    assert {n.rsplit("-", 1)[0] for n in files() - before} == {"pipeline-decontaminate"}
 
 
 def test_every_operator_has_one_query():
