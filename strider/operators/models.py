@@ -32,22 +32,26 @@ def flip_ensemble(model: Callable[[np.ndarray], np.ndarray], flip: Callable[[np.
 
 
 def align_3d(source: np.ndarray, target: np.ndarray, reference_compat: bool = False) -> np.ndarray:
-    """Best rotation, scale and shift of n x 3 points onto others; with reference_compat the transposed rotation."""
-    a, b = source - source.mean(0), target - target.mean(0)
-    if np.linalg.norm(a) < 1e-8 or np.linalg.norm(b) < 1e-8:
-        return source
-    u, s, vt = np.linalg.svd(a.T @ b)
-    flip = np.diag([1, 1, np.sign(np.linalg.det(u @ vt))])
-    r = u @ flip @ vt
-    scale = (s * np.diag(flip)).sum() / (a * a).sum()
-    return scale * (a @ (r.T if reference_compat else r)) + target.mean(0)
+    """Best rotation, scale and shift of n x 3 points onto others, for one pair or a batch of them at once; with reference_compat the transposed rotation. Points in one place stay."""
+    a, b = source - source.mean(-2, keepdims=True), target - target.mean(-2, keepdims=True)
+    still = (np.linalg.norm(a, axis=(-2, -1)) < 1e-8) | (np.linalg.norm(b, axis=(-2, -1)) < 1e-8)
+    u, s, vt = np.linalg.svd(np.swapaxes(a, -2, -1) @ b)
+    flip = np.ones(s.shape)
+    flip[..., 2] = np.sign(np.linalg.det(u @ vt))
+    r = (u * flip[..., None, :]) @ vt
+    scale = (s * flip).sum(-1) / np.where(still, 1, (a * a).sum((-2, -1)))
+    out = scale[..., None, None] * (a @ (np.swapaxes(r, -2, -1) if reference_compat else r)) + target.mean(-2, keepdims=True)
+    return np.where(still[..., None, None], source, out)
 
 
 def aligned_error(df: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
-    """Adds `error`, the mean distance in mm after the best alignment of two poses of 51 doubles."""
+    """Adds `error`, the mean distance in mm after the best alignment of two poses of 51 doubles; whole batches at once."""
 
     @F.pandas_udf(T.DoubleType())
     def error(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([float(np.linalg.norm(align_3d(np.reshape(x, (17, 3)), np.reshape(y, (17, 3))) - np.reshape(y, (17, 3)), axis=1).mean() * 1000) for x, y in zip(a, b)], dtype=float)
+        if not len(a):
+            return pd.Series([], dtype=float)
+        x, y = (np.stack(s.to_list()).reshape(-1, 17, 3) for s in (a, b))
+        return pd.Series(np.linalg.norm(align_3d(x, y) - y, axis=2).mean(1) * 1000)
 
     return df.withColumn("error", error(source, target))

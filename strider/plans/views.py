@@ -24,17 +24,22 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("clip", (F.row_number().over(w) - 1).cast("long").alias("frame"), "e")
 
 
-def joints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clip, frame, j, px, py, pz, conf, x, y; undetected joints are at 0, 0."""
+def joints(spark: SparkSession, sf_dir: str, zoom: float = 1.0) -> DataFrame:
+    """clip, frame, j, px, py, pz, conf, x, y; undetected joints are at 0, 0. `zoom` enlarges the person on the screen."""
     f = frames(spark, sf_dir).select("clip", "frame", "e", F.explode(F.sequence(F.lit(0), F.lit(16))).alias("j"))
     p = [F.get("e", F.col("j") * 3 + k) for k in range(3)]
     conf = F.least(F.lit(1.0), 4 * F.abs(F.get("e", F.col("j") + 47)))
     f = f.select("clip", "frame", F.col("j").cast("long").alias("j"), *(c.alias(n) for c, n in zip(p, ("px", "py", "pz"))), conf.alias("conf"))
-    amp = F.when(F.col("clip") % 5 == 0, 0.001).otherwise(1.0)
+    amp = F.when(F.col("clip") % 5 == 0, 0.001).otherwise(zoom)
     seen = F.col("conf") >= 0.1
     return f.withColumns({"x": F.when(seen, 320 + amp * 320 * F.col("px")).otherwise(0.0), "y": F.when(seen, 240 + amp * 240 * F.col("py")).otherwise(0.0)})
 
 
+def predicted(frames: DataFrame, column: str, out: str) -> DataFrame:
+    """clip, frame and `out`: what the static model predicts for a frame, the value of the frame before; first frames have no prediction."""
+    return frames.select("clip", (F.col("frame") + 1).alias("frame"), F.col(column).alias(out))
+
+
 def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clip, frame, pose (51 doubles, x y z of 17 joints)."""
     return frames(spark, sf_dir).select("clip", "frame", F.slice("e", 1, 51).alias("pose"))
@@ -91,8 +96,8 @@ _SQL = {
 _NEEDS = {"joints": ["frames"], "boxes": ["frames", "joints"]}
 
 
-def sql(body: str, *names: str) -> str:
+def sql(body: str, *names: str, zoom: float = 1.0) -> str:
     """`body` after a WITH of the named views and what they need; `body` may start with more of them and a comma."""
     order = dict.fromkeys(x for n in names for x in [*_NEEDS.get(n, []), n])
-    ctes = ",\n".join(_SQL[n] for n in order)
+    ctes = ",\n".join(_SQL[n] for n in order).replace("ELSE 1.0 END::DOUBLE AS amp", f"ELSE {zoom} END::DOUBLE AS amp")
     return f"WITH {ctes}" + (",\n" if body.lstrip().startswith("+") else "\n") + body.lstrip().removeprefix("+")

@@ -112,21 +112,24 @@ def rolling_join(spark, sf_dir):
     return windows.boundaries(views.series(spark, sf_dir), 3).select("clip", "frame", R("model").alias("model"))
 
 
-def _errors(spark, sf_dir):
-    s = views.series(spark, sf_dir)
-    moved = s.withColumn("d", F.abs(F.col("signal") - F.lag("signal").over(Window.partitionBy("clip").orderBy("frame")))).groupBy("clip").agg(F.sum("d").alias("motion"))
+def _moved(spark, sf_dir):
+    """The series with each frame's value before, by one window, and for each clip whether its motion is in the upper quarter."""
+    s = views.series(spark, sf_dir).withColumn("before", F.lag("signal").over(Window.partitionBy("clip").orderBy("frame")))
+    moved = s.groupBy("clip").agg(F.sum(F.abs(F.col("signal") - F.col("before"))).alias("motion"))
     high = moved.agg(F.percentile("motion", 0.75).alias("p75"))
-    moved = moved.join(F.broadcast(high)).select("clip", (F.col("motion") >= F.col("p75")).alias("high"))
-    parts = []
-    for step in (1, 2, 3, 5):
-        r = windows.rolling(s, step)
-        m = windows.boundaries(s, step).select("clip", "frame", "model")
-        e = r.join(m, ["clip", "frame"])
-        parts.append(e.select("clip", "frame", F.lit(step).cast("long").alias("step"), F.explode(F.map_from_arrays(F.array(F.lit("static"), F.lit("linear"), F.lit("model")), F.array("static", "linear", "model"))).alias("method", "p"), "signal"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.join(moved, "clip").select("clip", "frame", "step", "method", "high", ((F.col("p") - F.col("signal")) * (F.col("p") - F.col("signal"))).alias("sq"))
+    return s, moved.join(F.broadcast(high)).select("clip", (F.col("motion") >= F.col("p75")).alias("high"))
+
+
+def _errors(spark, sf_dir):
+    """All steps in one pass: a frame of each step's block takes the block's first value, its change, and the stub model's drift."""
+    s, moved = _moved(spark, sf_dir)
+    steps = s.join(moved, "clip").select("*", F.explode(F.array(*(F.lit(k).cast("long") for k in (1, 2, 3, 5)))).alias("step"))
+    block = Window.partitionBy("step", "clip", F.floor(F.col("frame") / F.col("step"))).orderBy("frame")
+    first = F.first(F.struct("signal", (F.col("signal") - F.col("before")).alias("speed"))).over(block)
+    r = steps.select("clip", "frame", "step", "high", "signal", (F.col("frame") % F.col("step")).alias("k"), first.alias("at"))
+    made = {"static": F.col("at.signal"), "linear": F.col("at.signal") + F.coalesce("at.speed", F.lit(0.0)) * F.col("k"), "model": F.col("at.signal") + 0.1 * F.col("k")}
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), v.alias("p")) for m, v in made.items()))).alias("x")
+    return r.select("clip", "frame", "step", "high", "signal", each).select("clip", "frame", "step", "x.method", "high", ((F.col("x.p") - F.col("signal")) * (F.col("x.p") - F.col("signal"))).alias("sq"))
 
 
 _ERR = """+mo AS (SELECT clip, sum(abs(signal - before)) AS motion FROM (SELECT *, lag(signal) OVER (PARTITION BY clip ORDER BY frame) AS before FROM series) GROUP BY clip),
@@ -150,7 +153,7 @@ def rmse_distribution(spark, sf_dir):
 
 @query(views.sql(f"{_ERR} SELECT clip FROM hi WHERE high", "series"))
 def high_motion(spark, sf_dir):
-    return _errors(spark, sf_dir).where("high").select("clip").distinct()
+    return _moved(spark, sf_dir)[1].where("high").select("clip")
 
 
 @query("SELECT DISTINCT unnest(range(0, 16, s))::BIGINT AS k FROM (SELECT unnest([1, 2, 3, 5, 8]) AS s)")
