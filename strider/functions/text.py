@@ -70,9 +70,11 @@ def frame_rate(text: Column) -> Column:
     return F.coalesce(n / F.nullif(d, F.lit(0.0)), F.lit(30.0))
 
 
-def instruction(action_class: Column, body: Column, start: Column, frames: Column, rate: float = 10, horizon: int = 16) -> Column:
-    """Task and caption (a fallback for a null caption), progress in seconds and percent, and the horizon; half percents go to the even one."""
+def instruction(action_class: Column, body: Column, start: Column, frames: Column, rate: float = 10, horizon: int = 16, flipped: Column | None = None) -> Column:
+    """Task and caption (a fallback for a null caption; sides swapped where `flipped`), progress in seconds and percent, and the horizon; half percents go to the even one."""
     base = F.when(body.isNull(), F.concat(F.lit(FALLBACK), action_class)).otherwise(F.concat(F.lit(TASK), action_class, F.lit(INSTRUCTION), body))
+    if flipped is not None:
+        base = F.when(flipped, swap_sides(base)).otherwise(base)
     percent = F.bround(start / frames.cast("double") * 100, 0).cast("long")
     progress = F.format_string(" Progress: %.1fs/%.1fs (%d%%)", start / F.lit(float(rate)), frames / F.lit(float(rate)), percent)
     return F.concat(base, progress, F.lit(FOCUS.format(f"{horizon / rate:.1f}")))

@@ -106,6 +106,12 @@ def legacy(joints: DataFrame) -> DataFrame:
     return classify(joints, zero, min_frames=25)
 
 
+def status_name(action_class, clip_id):
+    """A file name of status, class, clip and the first two issues, of 200 characters at most."""
+    reasons = F.when(F.size("issues") > 0, F.concat(F.lit("_"), F.array_join(F.slice("issues", 1, 2), "_"))).otherwise("")
+    return F.substring(F.concat(F.concat_ws("_", "status", action_class, clip_id), reasons), 1, 200)
+
+
 def status_of(issues):
     """VALID, PARTIAL or INVALID of an array of issues."""
     length = lambda i: F.regexp_extract(i, "^TOO_SHORT_(\\d+)_", 1).try_cast("int")

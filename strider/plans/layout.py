@@ -1,4 +1,4 @@
-"""Queries without a plain SQL form: export rows with blobs, model slots, alignment."""
+"""Queries without a plain SQL form: model slots, alignment."""
 
 from __future__ import annotations
 
@@ -7,20 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import kinematics as kin
 from ..operators import models
-from ..sources import files
 from . import views
 from .catalog import query
 
 
-@query()
-def export_row(spark, sf_dir):
-    """One row for each clip: counts and zipped blobs of poses and angles."""
-    p = views.poses(spark, sf_dir).withColumn("keep", F.col("pose"))
-    a = kin.joint_angles(p.select("clip", "frame", "keep", "pose"))
-    g = a.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("frame", "keep", "angles"))).alias("r"))
-    return g.select("clip", F.size("r").cast("long").alias("num_pose_frames"), files.blob(F.flatten("r.keep")).alias("pose3d"), files.blob(F.flatten("r.angles")).alias("joint_angles"))
-
-
 @query()
 def lifted_poses(spark, sf_dir):
     """A stub lifting model in the flip ensemble."""

@@ -117,9 +117,8 @@ def issue_histogram(spark, sf_dir):
 
 @query(views.sql(f"{CLASSES} SELECT left(status || '_class_' || clip % 3 || '_' || lpad(clip::VARCHAR, 6, '0') || CASE WHEN len(issues) > 0 THEN '_' || array_to_string(issues[1:2], '_') ELSE '' END, 200) AS name FROM classes", "boxes"))
 def status_filename(spark, sf_dir):
-    base = F.concat_ws("_", "status", F.lit("class"), (F.col("clip") % 3).cast("string"), F.lpad(F.col("clip").cast("string"), 6, "0"))
-    reasons = F.array_join(F.slice("issues", 1, 2), "_")
-    return _classes(spark, sf_dir).select(F.substring(F.concat(base, F.when(F.size("issues") > 0, F.concat(F.lit("_"), reasons)).otherwise("")), 1, 200).alias("name"))
+    class_ = F.concat(F.lit("class_"), (F.col("clip") % 3).cast("string"))
+    return _classes(spark, sf_dir).select(quality.status_name(class_, F.lpad(F.col("clip").cast("string"), 6, "0")).alias("name"))
 
 
 @query(views.sql(f"{CLASSES} SELECT clip, status FROM classes WHERE status = 'VALID'", "boxes"))

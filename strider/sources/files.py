@@ -117,22 +117,38 @@ def unzipped(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else zlib.decompress(b))
 
 
-def blob(values: Column) -> Column:
-    """float32 bytes of an array of doubles, zipped."""
+def blob(values: Column, kind: str = "<f4") -> Column:
+    """Bytes of an array of doubles as float32, or another little-endian kind, zipped."""
 
     @F.pandas_udf(T.BinaryType())
     def raw(v: pd.Series) -> pd.Series:
-        return v.map(lambda a: None if a is None else np.asarray(a, "<f4").tobytes())
+        return v.map(lambda a: None if a is None else np.asarray(a, float).astype(kind).tobytes())
 
     return zipped(raw(values))
 
 
+def write_clips(df: DataFrame, path: str) -> None:
+    """Clip records in a folder for each action class; a class's clips are written together, a large class by several tasks."""
+    df.repartition(F.col("action_class"), F.pmod(F.xxhash64("clip_id"), F.lit(16))).write.partitionBy("action_class").parquet(path)
+
+
+def write_report(df: DataFrame, path: str, title: str) -> None:
+    """A report's few rows as one JSON line each and as a Markdown table, in the folders json and markdown of `path`."""
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c) for c in df.columns)), F.lit(" |"))
+    head = f"# {title}\n\n| {' | '.join(df.columns)} |\n|{'-|' * len(df.columns)}"
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).coalesce(1).write.text(f"{path}/json")
+    lines = df.agg(F.array_sort(F.collect_list(row)).alias("rows")).select(F.concat_ws("\n", F.lit(head), F.array_join("rows", "\n")).alias("value"))
+    lines.write.text(f"{path}/markdown")
+
+
 def write_shards(df: DataFrame, path: str, keys: list[str], bytes_each: int = 2 << 30, bytes_row: int | None = None) -> int:
     """Sorted Parquet files of about `bytes_each`; the size of a row is estimated from 100 rows. Returns the rows of a file."""
     if bytes_row is None:
         some = df.limit(100).toPandas()  # the estimate's sample
         bytes_row = max(1, int(some.memory_usage(deep=True, index=False).sum() / max(1, len(some))))
     rows = max(1, bytes_each // bytes_row)
+    # the sort reads its input twice; a dear one is written before by the caller
     n = max(1, math.ceil(df.count() / rows))
     df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.option("maxRecordsPerFile", rows).option("compression", "snappy").parquet(path)
     return rows
