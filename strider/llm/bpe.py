@@ -18,10 +18,8 @@ after it does not depend on what comes before; and the pattern looks at most two
 characters past a match's first (contractions) or one past its end, all of which
 a sync point leaves on its own side. Tokens outside the window are hence those
 of the joined text. If a half has no sync point, the window takes all of it. Nodes
-of which the whole left and right part would be encoded again (one match over many
-leaves) skip doing so: only the node above that has a sync point on both sides, or the
-root, encodes it, so a text that is one long match costs one encoding and not one for
-each level.
+without a sync point (parts of one match that is longer than a leaf) are not encoded by
+themselves, as the window above takes all of them.
 
 The tokens of short matches are kept in a table of at most `memory` bytes for each
 worker and vocabulary; a full table is emptied, which changes no result.
@@ -46,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import text_column
 
-LEAF = 64
+LEAF = 128
 MEMORY = 96 << 20
 #: Longest match in bytes that is merged by scanning and kept in the table.
 _SCANNED = 64
@@ -76,14 +74,17 @@ class BytePairCodec:
         self._bytes = {i: b for b, i in ranks.items()}
         self._known: dict[str, list[int]] = {}
         self._used, self._none = 0, max(ranks.values(), default=0) + 1
+        # a token's number is its rank; two tokens merge if what they make together is a token
+        self._shift = self._none.bit_length()
+        self._first = [ranks.get(bytes([b]), self._none) for b in range(256)]
+        self._pairs = {ranks[t[:k]] << self._shift | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
 
     def encode(self, text: str) -> list[int]:
         # the pattern sees characters that are neither letters nor digits to the library as NUL, which is neither
         plain = text if text.isascii() else _OTHERS.sub("\0", text)
         if plain == text:
             plain = text
-        found = self._node(text, plain, 0, len(text))
-        return self._flat(text, plain, 0, len(text)) if found is None else found
+        return (self._node if _NEXT.search(plain, 1) else self._flat)(text, plain, 0, len(text))
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= self._leaf:
@@ -91,14 +92,14 @@ class BytePairCodec:
         mid = len(ids) // 2
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
-    def _node(self, text: str, plain: str, lo: int, hi: int) -> list[int] | None:
-        """Tokens of text[lo:hi]; None if it has no sync point, so that no token of it could be kept above."""
+    def _node(self, text: str, plain: str, lo: int, hi: int) -> list[int]:
+        """Tokens of text[lo:hi], which has a sync point."""
         if hi - lo <= self._leaf:
-            return self._flat(text, plain, lo, hi) if _NEXT.search(plain, lo + 1, hi) else None
+            return self._flat(text, plain, lo, hi)
         mid = (lo + hi) // 2
         left, right = _LAST.search(plain, lo + 1, mid), _NEXT.search(plain, mid + 1, hi)
         if left is None and right is None:
-            return self._flat(text, plain, lo, hi) if _NEXT.search(plain, lo + 1, hi) else None
+            return self._flat(text, plain, lo, hi)
         cut, end = left.start() if left else lo, right.start() if right else hi
         keep = []
         if left:
@@ -133,20 +134,19 @@ class BytePairCodec:
         return ids
 
     def _scanned(self, raw: bytes) -> list[int]:
-        """Tokens of a short match: the least of all pairs' ranks is looked for again after each merge."""
-        get, none = self._ranks.get, self._none
-        ends = list(range(1, len(raw) + 1))
-        pairs = [get(raw[k : k + 2], none) for k in range(len(raw) - 1)]
+        """Tokens of a short match: the least of all pairs is looked for again after each merge."""
+        get, none, shift = self._pairs.get, self._none, self._shift
+        ids = [self._first[b] for b in raw]
+        pairs = [get(a << shift | b, none) for a, b in zip(ids, ids[1:])]
         while pairs and (least := min(pairs)) != none:
-            # pair k is that of the parts that end at ends[k] and ends[k + 1]
             k = pairs.index(least)
-            del ends[k], pairs[k]
-            start = ends[k - 1] if k else 0
+            ids[k] = least
+            del ids[k + 1], pairs[k]
             if k:
-                pairs[k - 1] = get(raw[ends[k - 2] if k > 1 else 0 : ends[k]], none)
+                pairs[k - 1] = get(ids[k - 1] << shift | least, none)
             if k < len(pairs):
-                pairs[k] = get(raw[start : ends[k + 1]], none)
-        return [self._ranks[raw[a:b]] for a, b in zip([0, *ends], ends)]
+                pairs[k] = get(least << shift | ids[k + 1], none)
+        return ids
 
     def _heaped(self, raw: bytes) -> list[int]:
         """Tokens of a long match, the same: pairs wait in a heap over a linked list of parts."""
