@@ -40,15 +40,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/strider/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def save(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write `df` to the shared folder and read it back.
 
-    The files outlive any executor. They go when the driver's JVM ends, or before by delete().
+    The files outlive any executor. They go when the driver's JVM ends, or before by forget().
     """
-    path = path or new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name)
     keep_until_exit(df.sparkSession, path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def forget(*saved: DataFrame) -> None:
+    """Delete what save() wrote, once nothing will read it again."""
+    for df in saved:
+        delete(df.sparkSession, df.saved_path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -81,8 +89,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Every round is written to the shared folder, which bounds the lineage.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    spark, path = edges.sparkSession, new_path(edges.sparkSession, "edges")
-    e = save(e, "edges", path)
+    e = save(e, "edges")
     last = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -90,9 +97,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        old, path = path, new_path(spark, "edges")
-        e = save(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges", path)
-        delete(spark, old)
+        old, e = e, save(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        forget(old)
         state = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.hash("u", "v"))).first()
         if state == last:
             break
