@@ -89,7 +89,7 @@ def segments(df: DataFrame, column: str) -> DataFrame:
 
 
 def wrapped(text: Column, width: int = WIDTH, indent: str = "    ") -> Column:
-    """Words in lines of at most `width` characters behind an indent, filled one after the other; a longer word has a line of its own."""
+    """Words in lines of at most `width` characters behind an indent, filled one after the other; a longer word has a line of its own, and a run of white space counts as one space."""
     words = F.filter(F.split(F.regexp_replace(text, r"\s", " "), " "), lambda w: w != "")
     empty = F.struct(F.lit("").alias("text"), F.lit(0).alias("used"))
 

@@ -158,19 +158,24 @@ def ortho_project(spark, sf_dir):
     return b.join(s, ["clip", "frame"]).select("clip", "frame", "j", (F.round((F.col("x") - (F.col("x0") + F.col("x1")) / 2) * k + 100, 2) + 0.0).alias("u"), (F.round(150 - (F.col("y") - (F.col("y0") + F.col("y1")) / 2) * k, 2) + 0.0).alias("v"))
 
 
-_UP = "u AS (SELECT clip, frame, sqrt((e[31] - (e[10] + e[19]) / 2) ** 2 + (e[32] - (e[11] + e[20]) / 2) ** 2 + (e[33] - (e[12] + e[21]) / 2) ** 2) AS up FROM frames)"
+_TRAJECTORIES = """+tr AS (SELECT clip // 3 AS clip, row_number() OVER (PARTITION BY clip // 3 ORDER BY frame, clip) - 1 AS frame, e FROM frames),
+u AS (SELECT clip, frame, sqrt((e[31] - (e[10] + e[19]) / 2) ** 2 + (e[32] - (e[11] + e[20]) / 2) ** 2 + (e[33] - (e[12] + e[21]) / 2) ** 2) AS up FROM tr),
+m AS (SELECT clip, avg(abs(d)) AS motion FROM (SELECT clip, e[k + 1] - lag(e[k + 1]) OVER (PARTITION BY clip, k ORDER BY frame) AS d FROM tr, range(51) t(k)) GROUP BY clip),
+fi AS (SELECT clip FROM (SELECT clip, row_number() OVER (PARTITION BY clip // 3 ORDER BY clip) AS r FROM (SELECT DISTINCT clip FROM tr)) WHERE r <= 30),
+s AS (SELECT clip // 3 AS class, clip, min(up) * avg(up) * any_value(motion) AS score FROM u JOIN m USING (clip) SEMI JOIN fi USING (clip) GROUP BY clip HAVING count(*) >= 30)"""
 
 
-@query(views.sql(f"+{_UP}, m AS (SELECT clip, avg(abs(d)) AS motion FROM (SELECT clip, e[k + 1] - lag(e[k + 1]) OVER (PARTITION BY clip, k ORDER BY frame) AS d FROM frames, range(51) t(k)) GROUP BY clip), fi AS (SELECT clip FROM (SELECT clip, row_number() OVER (PARTITION BY clip // 30 ORDER BY clip) AS r FROM (SELECT DISTINCT clip FROM frames)) WHERE r <= 30), s AS (SELECT clip // 30 AS class, clip, min(up) * avg(up) * any_value(motion) AS score FROM u JOIN m USING (clip) SEMI JOIN fi USING (clip) GROUP BY clip HAVING count(*) >= 30) SELECT class, clip FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY round(score, 9) DESC, clip) AS r FROM s) WHERE r = 1", "frames"))
+@query(views.sql(f"{_TRAJECTORIES} SELECT class, clip FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY round(score, 9) DESC, clip) AS r FROM s) WHERE r = 1", "frames"))
 def trajectory_pick(spark, sf_dir):
-    """For each class, among its first 30 clips and those of 30 frames or more, the clip with the best product of least and mean uprightness and motion."""
-    p = views.poses(spark, sf_dir)
-    files = p.select("clip").distinct().withColumn("r", F.row_number().over(Window.partitionBy(F.floor(F.col("clip") / 30)).orderBy("clip"))).where("r <= 30").select("clip")
+    """For each class, among its first 30 clips and those of 30 frames or more, the clip with the best product of least and mean uprightness and motion. A label's clips are one here."""
+    order = Window.partitionBy("own").orderBy("frame", "clip")
+    p = views.poses(spark, sf_dir).withColumn("own", F.floor(F.col("clip") / 3)).select(F.col("own").alias("clip"), F.row_number().over(order).alias("frame"), "pose")
+    files = p.select("clip").distinct().withColumn("r", F.row_number().over(Window.partitionBy(F.floor(F.col("clip") / 3)).orderBy("clip"))).where("r <= 30").select("clip")
     p = p.join(files, "clip", "left_semi")
     ankles = vec.scale(vec.add(vec.at("pose", 3), vec.at("pose", 6)), 0.5)
     w = Window.partitionBy("clip").orderBy("frame")
     p = p.select("clip", "frame", vec.norm(vec.sub(vec.at("pose", 10), ankles)).alias("up"), F.aggregate(F.zip_with("pose", F.lag("pose").over(w), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"))
-    s = p.groupBy("clip").agg(F.count(F.lit(1)).alias("n"), (F.min("up") * F.avg("up") * F.avg("d") / 51).alias("score")).where("n >= 30").withColumn("class", F.floor(F.col("clip") / 30))
+    s = p.groupBy("clip").agg(F.count(F.lit(1)).alias("n"), (F.min("up") * F.avg("up") * F.avg("d") / 51).alias("score")).where("n >= 30").withColumn("class", F.floor(F.col("clip") / 3))
     best = Window.partitionBy("class").orderBy(F.round("score", 9).desc(), "clip")
     return s.withColumn("r", F.row_number().over(best)).where("r = 1").select("class", "clip")
 
