@@ -22,7 +22,8 @@ without a sync point (parts of one match that is longer than a leaf) are not enc
 themselves, as the window above takes all of them.
 
 The tokens of short matches are kept in a table of at most `memory` bytes for each
-worker and vocabulary; a full table is emptied, which changes no result.
+worker and vocabulary, in two halves: a full half takes the place of the old one, from
+which what is met again comes back. That changes no result.
 
 Null text counts as empty; an empty text has no tokens. Very long texts cost
 memory in proportion to their own length. Repeated rows give repeated results.
@@ -73,6 +74,7 @@ class BytePairCodec:
         self._split = regex.compile(pattern).findall
         self._bytes = {i: b for b, i in ranks.items()}
         self._known: dict[str, list[int]] = {}
+        self._old: dict[str, list[int]] = {}
         self._used, self._none = 0, max(ranks.values(), default=0) + 1
         # a token's number is its rank; two tokens merge if what they make together is a token
         self._shift = self._none.bit_length()
@@ -122,14 +124,15 @@ class BytePairCodec:
         return out
 
     def _match(self, match: str) -> list[int]:
-        raw = match.encode()
-        whole = self._ranks.get(raw)
-        ids = [whole] if whole is not None else self._scanned(raw) if len(raw) <= _SCANNED else self._heaped(raw)
-        if len(raw) <= _SCANNED:
-            self._used += _ENTRY + 2 * len(raw) + 8 * len(ids)
-            if self._used > self._memory:
-                self._known.clear()
-                self._used = 0
+        ids = self._old.get(match)
+        if ids is None:
+            raw = match.encode()
+            whole = self._ranks.get(raw)
+            ids = [whole] if whole is not None else self._scanned(raw) if len(raw) <= _SCANNED else self._heaped(raw)
+        if len(match) <= _SCANNED:
+            self._used += _ENTRY + 2 * len(match) + 8 * len(ids)
+            if 2 * self._used > self._memory:
+                self._old, self._known, self._used = self._known, {}, 0
             self._known[match] = ids
         return ids
 
