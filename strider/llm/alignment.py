@@ -42,6 +42,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,6 +60,8 @@ CUT = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
 SPACE = "▁"
 _HEX = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
+#: Of an array's element.
+TOKEN = "struct<id: int, len: int>"
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 def _byte_of_letter() -> dict[str, int]:
@@ -156,57 +159,54 @@ def cut(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_
 
 
 def encoded(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """key, segment, n (over all parts), a_ids, a_lens, b_ids, b_lens of the distinct segments, stored."""
-    lists = ["a_ids", "a_lens", "b_ids", "b_lens"]
+    """key, segment, n (over all parts), a, b (arrays of TOKEN) of the distinct segments, stored."""
+    token = pa.struct([("id", pa.int32()), ("len", pa.int32())])
+
+    def lists(ids: list[list[int]], of: dict[int, bytes]) -> pa.ListArray:
+        flat = [i for x in ids for i in x]
+        both = pa.StructArray.from_arrays([pa.array(flat, pa.int32()), pa.array([len(of[i]) for i in flat], pa.int32())], fields=list(token))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, key = _pair(path_a, path_b), TaskContext.get().partitionId() << 40
         for b in batches:
             for at in range(0, b.num_rows, AT_ONCE):
                 some = b.slice(at, AT_ONCE)
-                ids = list(pair.encode(some.column(0).to_pylist()))
-                columns = [[x[0] for x in ids], [[len(pair.bytes_a[i]) for i in x[0]] for x in ids], [x[1] for x in ids], [[len(pair.bytes_b[i]) for i in x[1]] for x in ids]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + len(ids))), *some.columns, *(pa.array(c, pa.list_(pa.int32())) for c in columns)], ["key", "segment", "n", *lists])
-                key += len(ids)
+                one, two = zip(*pair.encode(some.column(0).to_pylist()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + len(one))), *some.columns, lists(one, pair.bytes_a), lists(two, pair.bytes_b)], ["key", "segment", "n", "a", "b"])
+                key += len(one)
 
     distinct = segments.groupBy("segment").agg(F.sum("n").alias("n"))
-    return save(distinct.mapInArrow(run, "key long, segment string, n long, " + ", ".join(f"{c} array<int>" for c in lists)), "encoded")
+    return save(distinct.mapInArrow(run, f"key long, segment string, n long, a array<{TOKEN}>, b array<{TOKEN}>"), "encoded")
 
 
-def tokens(rows: DataFrame, ids: str, lens: str, keys: list[str]) -> DataFrame:
-    """keys, pos, id, end: a row for each token; end is the windowed sum of byte lengths up to it."""
-    each = rows.select(*keys, lens, F.posexplode(ids).alias("pos", "id")).withColumn("len", F.get(lens, F.col("pos")))
+def tokens(rows: DataFrame, side: str, keys: list[str]) -> DataFrame:
+    """keys, pos, id, end: a row for each token of the array `side`; end is the windowed sum of byte lengths up to it."""
+    each = rows.select(*keys, F.posexplode(side).alias("pos", "x")).select(*keys, "pos", "x.id", "x.len")
     upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return each.select(*keys, "pos", "id", F.sum("len").over(upto).alias("end"))
 
 
-def links(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, end, a_pos, b_pos, a_id, b_id: tokens that end together."""
-    left, right = (t.select(*keys, "end", F.col("pos").alias(f"{x}_pos"), F.col("id").alias(f"{x}_id")) for t, x in ((a, "a"), (b, "b")))
-    return left.join(right, [*keys, "end"])
-
-
-def grouped(t: DataFrame, cuts: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """keys, group, `out`: ids of each group in order. A token's group is the number of cuts before its end."""
-    marked = t.join(cuts.select(*keys, "end", F.lit(1).alias("cut")), [*keys, "end"], "left")
-    # tokens without bytes end where the token before them does, and belong to its group
-    before = Window.partitionBy(*keys).orderBy("end").rangeBetween(Window.unboundedPreceding, -1)
-    numbered = marked.select(*keys, "pos", "id", F.coalesce(F.sum("cut").over(before), F.lit(0)).alias("group"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])
-    return numbered.groupBy(*keys, "group").agg(ordered.alias(out))
+def grouped(own: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, pos, id, end, group, link: tokens with their group and the id of the other side's token that ends with them, or null.
 
-
-def groups(a: DataFrame, b: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, group (from 0), a, b: arrays of ids between neighbouring cuts."""
-    cuts = found.select(*keys, "end").distinct()
-    return grouped(a, cuts, keys, "a").join(grouped(b, cuts, keys, "b"), [*keys, "group"])
+    A link is a cut; a token's group is the number of cuts before it.
+    """
+    linked = own.join(other.select(*keys, "end", F.col("id").alias("link")), [*keys, "end"], "left")
+    before = Window.partitionBy(*keys).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    return linked.withColumn("group", F.coalesce(F.sum(F.col("link").isNotNull().cast("long")).over(before), F.lit(0).cast("long")))
 
 
 def align(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(links, groups) of rows with keys, a_ids, a_lens, b_ids, b_lens."""
-    a, b = tokens(rows, "a_ids", "a_lens", keys), tokens(rows, "b_ids", "b_lens", keys)
-    found = links(a, b, keys)
-    return found, groups(a, b, found, keys)
+    """(links, groups) of rows with keys, a, b (arrays of TOKEN, of one byte at least).
+
+    links: keys, end, a_id, b_id; groups: keys, group (from 0), a, b, the arrays of ids between neighbouring cuts.
+    """
+    a, b = tokens(rows, "a", keys), tokens(rows, "b", keys)
+    of_a, of_b = grouped(a, b, keys), grouped(b, a, keys)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])
+    lists = [t.groupBy(*keys, "group").agg(ids.alias(c)) for t, c in ((of_a, "a"), (of_b, "b"))]
+    return of_a.where("link is not null").select(*keys, "end", F.col("id").alias("a_id"), F.col("link").alias("b_id")), lists[0].join(lists[1], [*keys, "group"])
 
 
 @contextmanager
@@ -221,8 +221,45 @@ def _dealt_by_key(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, old)
 
 
+def _by_key(grouped_tokens: DataFrame, text: str) -> DataFrame:
+    """key, `text` (ids with a comma inside a group and a semicolon between groups), own, link: the linked ids.
+
+    The rows of a key lie together in one task, in order, as the window leaves them; a key that goes on in the next
+    batch is held back until its last row is there.
+    """
+
+    def made(t: pa.Table) -> pa.RecordBatch:
+        key, group = t["key"].to_numpy(), t["group"].to_numpy()
+        first = np.diff(key, prepend=key[0] - 1) != 0
+        mark = np.where(first, "", np.where(np.diff(group, prepend=-1) != 0, ";", ","))
+        words = pc.binary_join_element_wise(pa.array(mark, pa.string()), t["id"].combine_chunks().cast(pa.string()), "")
+        begins = np.flatnonzero(first)
+        offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4)
+        texts = pa.StringArray.from_buffers(len(begins), pa.py_buffer(np.append(offsets[begins], offsets[-1])), words.buffers()[2])
+        linked = t["link"].is_valid().to_numpy()
+        ends = pa.array(np.append(np.concatenate([[0], np.cumsum(linked)])[begins], linked.sum()), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, c.combine_chunks().filter(pa.array(linked))) for c in (t["id"], t["link"])]
+        return pa.RecordBatch.from_arrays([pa.array(key[begins]), texts, *lists], ["key", text, "own", "link"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(0).to_numpy()
+            done = int(np.flatnonzero(keys == keys[-1])[0])  # where the last key begins
+            if done or (held and held[-1].column(0)[-1].as_py() != keys[0]):
+                yield made(pa.Table.from_batches([*held, b.slice(0, done)]))
+                held = []
+            held.append(b.slice(done))
+        if held:
+            yield made(pa.Table.from_batches(held))
+
+    return grouped_tokens.select("key", "group", "id", "link").mapInArrow(run, f"key long, {text} string, own array<int>, link array<int>")
+
+
 def pair_counts(found: DataFrame) -> DataFrame:
-    """a_id, b_id, count, best: links (with their number n) that hold a pair, and whether no pair of this b_id has more."""
+    """a_id, b_id, count, best of links with their number n: all links that hold a pair, and whether no pair of this b_id has more."""
     counts = found.groupBy("a_id", "b_id").agg(F.sum("n").alias("count"))
     most = counts.groupBy("b_id").agg(F.max("count").alias("most"))
     return counts.join(most, "b_id").select("a_id", "b_id", "count", (F.col("count") == F.col("most")).alias("best"))
@@ -231,21 +268,19 @@ def pair_counts(found: DataFrame) -> DataFrame:
 def segment_results(rows: DataFrame) -> DataFrame:
     """segment, n_a, n_b, n_groups, n_links, n_best, count_sum, groups of encoded segments, stored."""
     n = max(parts(rows.sparkSession), -(-rows.count() // KEYS))
-    dealt = rows.repartition(n, "key")
-    a, b = tokens(dealt, "a_ids", "a_lens", ["key"]), tokens(dealt, "b_ids", "b_lens", ["key"])
+    dealt = rows.select("key", "a", "b").repartition(n, "key")
+    a, b = tokens(dealt, "a", ["key"]), tokens(dealt, "b", ["key"])
     with _dealt_by_key(rows.sparkSession):
-        found = save(links(a, b, ["key"]), "links")
-        own = found.repartition(n, "key")
-        words = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
-        each = groups(a, b, own, ["key"]).select("key", "group", F.concat(words("a"), F.lit("|"), words("b")).alias("ids"))
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "ids"))), lambda x: x["ids"]), ";")
-        per_key = save(each.groupBy("key").agg(F.count(F.lit(1)).alias("n_groups"), text.alias("groups")), "groups")
-    counts = save(pair_counts(found.join(rows.select("key", "n"), "key")), "pairs")
-    sums = found.join(counts, ["a_id", "b_id"]).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+        of_a = save(_by_key(grouped(a, b, ["key"]), "text"), "groups")
+        of_b = save(_by_key(grouped(b, a, ["key"]), "other").select("key", "other"), "groups")
+    pairs = of_a.select("key", F.explode(F.arrays_zip("own", "link")).alias("x")).select("key", F.col("x.own").alias("a_id"), F.col("x.link").alias("b_id"))
+    counts = save(pair_counts(pairs.join(rows.select("key", "n"), "key")), "pairs")
+    sums = pairs.join(counts, ["a_id", "b_id"]).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+    texts = F.zip_with(F.split("text", ";"), F.split("other", ";"), lambda x, y: F.concat(x, F.lit("|"), y))
     size = lambda c: F.size(c).cast("long")
-    out = rows.select("key", "segment", size("a_ids").alias("n_a"), size("b_ids").alias("n_b")).join(per_key, "key").join(sums, "key").drop("key")
-    out = save(out, "aligned")
-    forget(found, per_key, counts)
+    out = rows.select("key", "segment", size("a").alias("n_a"), size("b").alias("n_b")).join(of_a.select("key", "text"), "key").join(of_b, "key").join(sums, "key")
+    out = save(out.select("segment", "n_a", "n_b", size(F.split("text", ";")).alias("n_groups"), "n_links", "n_best", "count_sum", F.array_join(texts, ";").alias("groups")), "aligned")
+    forget(of_a, of_b, counts)
     return out
 
 
@@ -254,6 +289,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
     documents, segments = cut(docs, path_a, path_b, id_col, text_col, part_bytes)
     rows = encoded(segments, path_a, path_b)
     results = segment_results(rows)
+    forget(rows)
     sums = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     known = segments.join(results, "segment").select(F.col("part").alias("of_part"), "number", *sums, "groups")
 
