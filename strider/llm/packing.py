@@ -34,12 +34,15 @@ from .common import save, text_column
 END = 2
 LONGEST = 4096
 #: Bytes of words and their ids that a worker remembers; beyond it, it starts anew.
-REMEMBERED_BYTES = 64 << 20
+REMEMBERED_BYTES = 160 << 20
 #: Bytes of ids in one result batch, and characters encoded together.
 BATCH_BYTES, BATCH_CHARS = 8 << 20, 1 << 20
 #: Bytes of a remembered word beside its characters and ids.
 _ENTRY = 200
 
+#: ASCII marks that stand apart from a letter or digit beside them. An apostrophe may belong to what follows it.
+MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, part int, place long"
 
 
@@ -52,7 +55,8 @@ def lengths(n: int, longest: int = LONGEST) -> list[int]:
 class WordEncoder:
     """A tokenizer that drops white space, so a text's ids are those of its words between spaces, one after another.
 
-    Each distinct word goes through the library once. Ids are little-endian unsigned 32-bit numbers.
+    Each distinct word goes through the library once, without the marks around it, which are words of their own where
+    a letter or digit stands beside them. Ids are little-endian unsigned 32-bit numbers.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED_BYTES):
@@ -61,15 +65,32 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         self.library, self.known, self.held, self.most = Tokenizer.from_file(path), {"": b""}, 0, remembered
 
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.known[word] = ids
+        self.held += len(word) + len(ids) + _ENTRY
+
+    @staticmethod
+    def pieces(word: str) -> tuple[str, str, str] | None:
+        """Marks, core and marks, if their ids follow one another; a special token's string stays whole."""
+        core = word.strip(MARKS)
+        if not core or len(core) == len(word) or "<|" in word or not all(c.isalnum() and c < "\u0300" for c in (core[0], core[-1])):
+            return None
+        at = word.index(core)
+        return word[:at], core.lower() if core.isascii() else core, word[at + len(core) :]
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        words = [t.split(" ") for t in texts]
+        words = [t.replace("\n", " ").split(" ") for t in texts]
         if self.held > self.most:
             self.known, self.held = {"": b""}, 0
-        new = list({w for x in words for w in x if w not in self.known})
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-            self.held += 4 * len(w) + 4 * len(e.ids) + _ENTRY
-        return (b"".join(map(self.known.__getitem__, x)) for x in words)
+        known = self.known
+        new = {w: self.pieces(w) for w in {w for x in words for w in x if w not in known}}
+        whole = list({p for w, cut in new.items() for p in cut or (w,) if p not in known})
+        for w, e in zip(whole, self.library.encode_batch_fast(whole, add_special_tokens=False)):
+            self._keep(w, struct.pack(f"<{len(e.ids)}I", *e.ids))
+        for w, cut in new.items():
+            if cut:
+                self._keep(w, b"".join([known[p] for p in cut]))
+        return (b"".join(map(known.__getitem__, x)) for x in words)
 
 
 def _batches(rows: Iterable[tuple], size: int) -> Iterator[list[tuple]]:
