@@ -43,16 +43,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import forget, parts, save, text_column
+from .common import forget, parts, release, save, text_column
 
 #: Bytes of text in one part.
 PART_BYTES = 24 << 20
 #: Segments given to the libraries at once.
 AT_ONCE = 1 << 14
+#: Rows that a task packs together.
+PACKED = 1 << 18
 #: Segments whose tokens are dealt to one task.
 KEYS = 100_000
 #: A single space between two characters that neither Python nor older Unicode takes for white space.
@@ -60,8 +63,9 @@ CUT = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
 SPACE = "▁"
 _HEX = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
-#: Of an array's element.
-TOKEN = "struct<id: int, len: int>"
+#: A token in an array is its id times this, plus its bytes.
+SHIFT = 32
+SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 def _byte_of_letter() -> dict[str, int]:
@@ -86,8 +90,14 @@ class Pair:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = {i: bytes([int(m[1], 16)]) if (m := _HEX.match(p)) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)}
+        one = [{v for v in of.values() if len(v) == 1} for of in (self.bytes_a, {i: v for i, v in self.bytes_b.items() if _HEX.match(pieces[i])})]
+        self.all_bytes = all(len(x) == 256 for x in one)
         self.by_words = not any(SPACE in p.lstrip(SPACE) for p in pieces)
 
+    def plain(self, text: str) -> bool:
+        """Whether the joined bytes surely agree: B's normalised form is the text, and both have a token for each byte."""
+        return self.all_bytes and SPACE not in text and self.b.normalize(text) == SPACE + text.replace(" ", SPACE)
+
     def split(self, text: str) -> list[str]:
         return CUT.split(text) if self.by_words else [text]
 
@@ -113,22 +123,27 @@ def _pair(path_a: str, path_b: str) -> Pair:
 
 def _part(pair: Pair, texts: list[str]) -> tuple[list[bytes], list[str], np.ndarray]:
     """Places of each text's segments, the distinct segments, and how often each occurs in texts that have tokens."""
-    cut = [pair.split(t) if t else [] for t in texts]
     number: dict[str, int] = {}
-    places = [np.fromiter((number.setdefault(s, len(number)) for s in x), np.int32, len(x)) for x in cut]
-    good = np.fromiter((pair.agrees(s, a, b) for s, (a, b) in zip(number, pair.encode(list(number)))), bool, len(number))
-    n = np.zeros(len(number), np.int64)
-    for k, at in enumerate(places):
-        if len(at) and not good[at].all():  # some bytes differ: no tokens
-            places[k] = at = at[:0]
+    places = [np.fromiter((number.setdefault(s, len(number)) for s in x), np.int32, len(x)) for x in (pair.split(t) if t else [] for t in texts)]
+    segments, n = list(number), np.zeros(len(number), np.int64)
+    doubtful = [k for k, t in enumerate(texts) if t and not pair.plain(t)]
+    some = np.unique(np.concatenate([places[k] for k in doubtful])) if doubtful else []
+    bad = np.zeros(len(number), bool)
+    for k, (a, b) in zip(some, pair.encode([segments[k] for k in some])):
+        bad[k] = not pair.agrees(segments[k], a, b)
+    for k in doubtful:
+        if bad[places[k]].any():  # some bytes differ: no tokens
+            places[k] = places[k][:0]
+    for at in places:
         np.add.at(n, at, 1)
-    return [at.tobytes() for at in places], list(number), n
+    packer = zstandard.ZstdCompressor(level=1)
+    return [packer.compress(at.tobytes()) for at in places], segments, n
 
 
 def cut(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> tuple[DataFrame, DataFrame]:
     """(documents, segments), stored in the shared folder.
 
-    documents: part, doc_id, places (numbers of segments as little-endian 32-bit integers). segments: part, number, n,
+    documents: part, doc_id, places (numbers of segments as little-endian 32-bit integers, in a zstd frame). segments: part, number, n,
     segment, for those that occur in a text with tokens.
     """
     schema = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("places", pa.binary()), ("number", pa.int32()), ("n", pa.int64()), ("segment", pa.string())])
@@ -159,13 +174,11 @@ def cut(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_
 
 
 def encoded(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """key, segment, n (over all parts), a, b (arrays of TOKEN) of the distinct segments, stored."""
-    token = pa.struct([("id", pa.int32()), ("len", pa.int32())])
+    """key, segment, n (over all parts), a, b (arrays of ids with lengths, see SHIFT) of the distinct segments, stored."""
 
     def lists(ids: list[list[int]], of: dict[int, bytes]) -> pa.ListArray:
-        flat = [i for x in ids for i in x]
-        both = pa.StructArray.from_arrays([pa.array(flat, pa.int32()), pa.array([len(of[i]) for i in flat], pa.int32())], fields=list(token))
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), both)
+        flat = [i << SHIFT | len(of[i]) for x in ids for i in x]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat, pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, key = _pair(path_a, path_b), TaskContext.get().partitionId() << 40
@@ -177,12 +190,13 @@ def encoded(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 key += len(one)
 
     distinct = segments.groupBy("segment").agg(F.sum("n").alias("n"))
-    return save(distinct.mapInArrow(run, f"key long, segment string, n long, a array<{TOKEN}>, b array<{TOKEN}>"), "encoded")
+    return save(distinct.mapInArrow(run, "key long, segment string, n long, a array<bigint>, b array<bigint>"), "encoded")
 
 
 def tokens(rows: DataFrame, side: str, keys: list[str]) -> DataFrame:
     """keys, pos, id, end: a row for each token of the array `side`; end is the windowed sum of byte lengths up to it."""
-    each = rows.select(*keys, F.posexplode(side).alias("pos", "x")).select(*keys, "pos", "x.id", "x.len")
+    token = F.col("token")
+    each = rows.select(*keys, F.posexplode(side).alias("pos", "token")).select(*keys, "pos", F.shiftright(token, SHIFT).cast("int").alias("id"), token.bitwiseAND((1 << SHIFT) - 1).alias("len"))
     upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return each.select(*keys, "pos", "id", F.sum("len").over(upto).alias("end"))
 
@@ -198,7 +212,7 @@ def grouped(own: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def align(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(links, groups) of rows with keys, a, b (arrays of TOKEN, of one byte at least).
+    """(links, groups) of rows with keys, a, b (arrays as encoded() has them; tokens have one byte at least).
 
     links: keys, end, a_id, b_id; groups: keys, group (from 0), a, b, the arrays of ids between neighbouring cuts.
     """
@@ -265,48 +279,78 @@ def pair_counts(found: DataFrame) -> DataFrame:
     return counts.join(most, "b_id").select("a_id", "b_id", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
-def segment_results(rows: DataFrame) -> DataFrame:
-    """segment, n_a, n_b, n_groups, n_links, n_best, count_sum, groups of encoded segments, stored."""
+def segment_results(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of encoded segments: (segment, n_a, n_b, n_groups, groups) and (segment, n_links, n_best, count_sum)."""
     n = max(parts(rows.sparkSession), -(-rows.count() // KEYS))
-    dealt = rows.select("key", "a", "b").repartition(n, "key")
+    dealt = rows.repartition(n, "key")
     a, b = tokens(dealt, "a", ["key"]), tokens(dealt, "b", ["key"])
-    with _dealt_by_key(rows.sparkSession):
-        of_a = save(_by_key(grouped(a, b, ["key"]), "text"), "groups")
-        of_b = save(_by_key(grouped(b, a, ["key"]), "other").select("key", "other"), "groups")
-    pairs = of_a.select("key", F.explode(F.arrays_zip("own", "link")).alias("x")).select("key", F.col("x.own").alias("a_id"), F.col("x.link").alias("b_id"))
-    counts = save(pair_counts(pairs.join(rows.select("key", "n"), "key")), "pairs")
-    sums = pairs.join(counts, ["a_id", "b_id"]).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    texts = F.zip_with(F.split("text", ";"), F.split("other", ";"), lambda x, y: F.concat(x, F.lit("|"), y))
+    of_a, of_b = _by_key(grouped(a, b, ["key"]), "text"), _by_key(grouped(b, a, ["key"]), "other")
     size = lambda c: F.size(c).cast("long")
-    out = rows.select("key", "segment", size("a").alias("n_a"), size("b").alias("n_b")).join(of_a.select("key", "text"), "key").join(of_b, "key").join(sums, "key")
-    out = save(out.select("segment", "n_a", "n_b", size(F.split("text", ";")).alias("n_groups"), "n_links", "n_best", "count_sum", F.array_join(texts, ";").alias("groups")), "aligned")
-    forget(of_a, of_b, counts)
-    return out
+    texts = F.zip_with(F.split("text", ";"), F.split("other", ";"), lambda x, y: F.concat(x, F.lit("|"), y))
+    each = of_a.join(of_b.select("key", "other"), "key").join(rows.select("key", "segment", "n", size("a").alias("n_a"), size("b").alias("n_b")), "key")
+    with _dealt_by_key(rows.sparkSession):
+        found = save(each.select("segment", "n", "n_a", "n_b", size(F.split("text", ";")).alias("n_groups"), F.array_join(texts, ";").alias("groups"), "own", "link"), "groups")
+    pairs = found.select("segment", "n", F.explode(F.arrays_zip("own", "link")).alias("x")).select("segment", "n", F.col("x.own").alias("a_id"), F.col("x.link").alias("b_id"))
+    counts = save(pair_counts(pairs), "pairs")
+    sums = pairs.join(counts, ["a_id", "b_id"]).groupBy("segment").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+    return found.drop("n", "own", "link"), sums
+
+
+def _packed(known: DataFrame) -> DataFrame:
+    """of_part, block: the rows (number, SUMS, groups) of a task by part, as compressed Arrow streams; far less to move than rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).sort_by("of_part")
+            of = t["of_part"].to_numpy()
+            begins = np.flatnonzero(np.diff(of, prepend=of[0] - 1))
+            blocks = []
+            for at, end in zip(begins, np.append(begins[1:], len(of))):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(t.slice(at, end - at))
+                blocks.append(sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array(of[begins]), pa.array(blocks, pa.binary())], ["of_part", "block"])
+
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= PACKED:
+                yield made(held)
+                held, n = [], 0
+        if n:
+            yield made(held)
+
+    return known.mapInArrow(run, "of_part long, block binary")
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
     """ALIGNED: a row for each document; groups as `a1,a2|b1;a3|b2`, or with `digest` its SHA-256 in hex ('' without tokens)."""
     documents, segments = cut(docs, path_a, path_b, id_col, text_col, part_bytes)
     rows = encoded(segments, path_a, path_b)
-    results = segment_results(rows)
+    results, sums = segment_results(rows)
     forget(rows)
-    sums = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    known = segments.join(results, "segment").select(F.col("part").alias("of_part"), "number", *sums, "groups")
+    release(docs.sparkSession)
+    known = segments.join(results, "segment").join(sums, "segment").select(F.col("part").alias("of_part"), "number", *SUMS, "groups")
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        at = right["number"].to_numpy()
-        table = np.zeros((at.max(initial=-1) + 1, len(sums)), np.int64)
-        table[at] = np.stack([right[c].to_numpy() for c in sums], 1) if len(at) else 0
+        blocks = [pa.ipc.open_stream(b).read_all() for b in right["block"].to_pylist()]
+        at = np.concatenate([b["number"].to_numpy() for b in blocks] or [np.zeros(0, np.int64)])
+        table = np.zeros((at.max(initial=-1) + 1, len(SUMS)), np.int64)
         strings = [""] * len(table)
-        for k, s in zip(at.tolist(), right["groups"].to_pylist()):
-            strings[k] = s
-        out, texts = [], []
+        for b in blocks:
+            own = b["number"].to_numpy()
+            table[own] = np.stack([b[c].to_numpy() for c in SUMS], 1)
+            for k, s in zip(own.tolist(), b["groups"].to_pylist()):
+                strings[k] = s
+        out, texts, unpacker = [], [], zstandard.ZstdDecompressor()
         for data in left["places"].to_pylist():
-            own = np.frombuffer(data, np.int32)
+            own = np.frombuffer(unpacker.decompress(data), np.int32)
             out.append(table[own].sum(0))
             text = ";".join([strings[k] for k in own.tolist()])
             texts.append(hashlib.sha256(text.encode()).hexdigest() if digest and len(own) else text)
-        columns = np.array(out, np.int64).reshape(-1, len(sums)).T
-        return pa.table([left["doc_id"].combine_chunks(), *map(pa.array, columns), pa.array(texts, pa.string())], names=["doc_id", *sums, "groups"])
+        columns = np.array(out, np.int64).reshape(-1, len(SUMS)).T
+        return pa.table([left["doc_id"].combine_chunks(), *map(pa.array, columns), pa.array(texts, pa.string())], names=["doc_id", *SUMS, "groups"])
 
-    return documents.groupBy("part").cogroup(known.groupBy("of_part")).applyInArrow(put_together, ALIGNED)
+    return documents.groupBy("part").cogroup(_packed(known).groupBy("of_part")).applyInArrow(put_together, ALIGNED)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,12 @@ def forget(*saved: DataFrame) -> None:
         delete(df.sparkSession, df.saved_path)
 
 
+def release(spark: SparkSession) -> None:
+    """Ask the driver to collect garbage, with which the shuffle files of steps that nothing refers to any more go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names made from `names` that `df` does not have, in any case of letters."""
     used, out = {c.lower() for c in df.columns}, []
