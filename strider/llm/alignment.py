@@ -279,8 +279,8 @@ def pair_counts(found: DataFrame) -> DataFrame:
     return counts.join(most, "b_id").select("a_id", "b_id", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
-def segment_results(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of encoded segments: (segment, n_a, n_b, n_groups, groups) and (segment, n_links, n_best, count_sum)."""
+def segment_results(rows: DataFrame) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame]]:
+    """Of encoded segments: (segment, n_a, n_b, n_groups, groups), (segment, n_links, n_best, count_sum), and the tables behind them."""
     n = max(parts(rows.sparkSession), -(-rows.count() // KEYS))
     dealt = rows.repartition(n, "key")
     a, b = tokens(dealt, "a", ["key"]), tokens(dealt, "b", ["key"])
@@ -293,7 +293,7 @@ def segment_results(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = found.select("segment", "n", F.explode(F.arrays_zip("own", "link")).alias("x")).select("segment", "n", F.col("x.own").alias("a_id"), F.col("x.link").alias("b_id"))
     counts = save(pair_counts(pairs), "pairs")
     sums = pairs.join(counts, ["a_id", "b_id"]).groupBy("segment").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    return found.drop("n", "own", "link"), sums
+    return found.drop("n", "own", "link"), sums, (found, counts)
 
 
 def _packed(known: DataFrame) -> DataFrame:
@@ -329,17 +329,21 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
     """ALIGNED: a row for each document; groups as `a1,a2|b1;a3|b2`, or with `digest` its SHA-256 in hex ('' without tokens)."""
     documents, segments = cut(docs, path_a, path_b, id_col, text_col, part_bytes)
     rows = encoded(segments, path_a, path_b)
-    results, sums = segment_results(rows)
+    release(docs.sparkSession)
+    results, sums, behind = segment_results(rows)
     forget(rows)
     release(docs.sparkSession)
     known = segments.join(results, "segment").join(sums, "segment").select(F.col("part").alias("of_part"), "number", *SUMS, "groups")
+    blocks = save(_packed(known), "blocks")
+    forget(*behind)
+    release(docs.sparkSession)
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        blocks = [pa.ipc.open_stream(b).read_all() for b in right["block"].to_pylist()]
-        at = np.concatenate([b["number"].to_numpy() for b in blocks] or [np.zeros(0, np.int64)])
+        own_blocks = [pa.ipc.open_stream(b).read_all() for b in right["block"].to_pylist()]
+        at = np.concatenate([b["number"].to_numpy() for b in own_blocks] or [np.zeros(0, np.int64)])
         table = np.zeros((at.max(initial=-1) + 1, len(SUMS)), np.int64)
         strings = [""] * len(table)
-        for b in blocks:
+        for b in own_blocks:
             own = b["number"].to_numpy()
             table[own] = np.stack([b[c].to_numpy() for c in SUMS], 1)
             for k, s in zip(own.tolist(), b["groups"].to_pylist()):
@@ -353,4 +357,4 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
         columns = np.array(out, np.int64).reshape(-1, len(SUMS)).T
         return pa.table([left["doc_id"].combine_chunks(), *map(pa.array, columns), pa.array(texts, pa.string())], names=["doc_id", *SUMS, "groups"])
 
-    return documents.groupBy("part").cogroup(_packed(known).groupBy("of_part")).applyInArrow(put_together, ALIGNED)
+    return documents.groupBy("part").cogroup(blocks.groupBy("of_part")).applyInArrow(put_together, ALIGNED)
