@@ -6,6 +6,8 @@ windows by equi-joins; a range join would become a nested loop.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +36,13 @@ def fixed(lengths: DataFrame, target: int) -> DataFrame:
     return rows.select("clip", "w", (F.col("w") * target).alias("start"), F.least(F.lit(target), F.col("n") - F.col("w") * target).cast("long").alias("length"))
 
 
-def overlapping(lengths: DataFrame, target: int, hop: int | None = None) -> DataFrame:
-    """clip, w, start, length: full windows every `hop`, and a tail of what is left from the next start on."""
+def overlapping(lengths: DataFrame, target: int, hop: int | None = None, more: Sequence[str] = ()) -> DataFrame:
+    """clip, w, start, length, `more`: full windows every `hop`, and a tail of what is left from the next start on."""
     hop = hop or target // 2
     full = F.when(F.col("n") <= target, 0).otherwise(F.floor((F.col("n") - target) / hop) + 1)
     count = F.when(F.col("n") <= target, 1).otherwise(full + (full * hop < F.col("n")).cast("long"))
-    rows = lengths.where("n > 0").select("clip", "n", F.explode(upto(count)).alias("w"))
-    return rows.select("clip", "w", (F.col("w") * hop).alias("start"), F.least(F.lit(target), F.col("n") - F.col("w") * hop).cast("long").alias("length"))
+    rows = lengths.where("n > 0").select("clip", "n", *more, F.explode(upto(count)).alias("w"))
+    return rows.select("clip", "w", (F.col("w") * hop).alias("start"), F.least(F.lit(target), F.col("n") - F.col("w") * hop).cast("long").alias("length"), *more)
 
 
 def positions(wins: DataFrame, target: int, even: bool = False) -> DataFrame:

@@ -22,4 +22,4 @@ def query(oracle: str | None = None):
     return take
 
 
-from . import quality, windows, kinematics, geometry, metrics, texts, reports, layout, more, compose  # noqa: E402, F401  they register themselves
+from . import quality, windows, kinematics, geometry, metrics, texts, reports, layout, more, compose, chains  # noqa: E402, F401  they register themselves

@@ -9,6 +9,8 @@ from ..functions import text
 from ..operators import kinematics as kin
 from ..operators import quality as rules
 from ..operators import windows
+from ..operators.quantiles import quantiles
+from ..operators.stored import stored
 from ..sources import files
 from . import quality, views
 from .catalog import query
@@ -138,7 +140,10 @@ def pose_evaluation(spark, sf_dir):
 @query(views.sql(f"{_EVAL} SELECT count(*) AS n, round(avg(mpjpe), 3) + 0.0 AS mean, round(quantile_cont(mpjpe, 0.5), 3) + 0.0 AS median, round(stddev_pop(mpjpe), 3) + 0.0 AS std, round(avg(pck), 3) + 0.0 AS pck FROM ev", "joints"))
 def evaluation_summary(spark, sf_dir):
     r3 = lambda c: F.round(c, 3) + 0.0
-    return _evaluated(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), r3(F.avg("mpjpe")).alias("mean"), r3(F.percentile("mpjpe", 0.5)).alias("median"), r3(F.stddev_pop("mpjpe")).alias("std"), r3(F.avg("pck")).alias("pck"))
+    e = stored(_evaluated(spark, sf_dir))
+    median = quantiles(e, [], "mpjpe", {"median": 0.5}).select(r3(F.col("median")).alias("median"))  # one row
+    rest = e.agg(F.count(F.lit(1)).alias("n"), r3(F.avg("mpjpe")).alias("mean"), r3(F.stddev_pop("mpjpe")).alias("std"), r3(F.avg("pck")).alias("pck"))
+    return rest.join(F.broadcast(median), how="left").select("n", "mean", "median", "std", "pck")
 
 
 @query(views.sql(f"{quality.CLASSES}, s AS (SELECT clip, issues, status FROM classes ORDER BY md5('42-' || clip), clip LIMIT 16) SELECT clip, status, left(status || '_class_' || clip % 3 || '_' || lpad(clip::VARCHAR, 6, '0') || CASE WHEN len(issues) > 0 THEN '_' || array_to_string(issues[1:2], '_') ELSE '' END, 200) AS name, count(*) OVER (PARTITION BY status) AS of_status FROM s", "boxes"))

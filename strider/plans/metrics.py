@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import windows
+from ..operators.quantiles import quantiles
+from ..operators.stored import stored
 from . import views
 from .catalog import query
 from .kinematics import IK, angles
@@ -192,9 +194,11 @@ def per_joint_error(spark, sf_dir):
 
 @query(views.sql(f"{_ER}, pc AS (SELECT clip, avg(d) * 1000 AS m FROM er GROUP BY clip) SELECT round(avg(m), 3) + 0.0 AS mean, round(quantile_cont(m, 0.5), 3) + 0.0 AS median, round(stddev_pop(m), 3) + 0.0 AS std, round(min(m), 3) + 0.0 AS least, round(max(m), 3) + 0.0 AS most, count(*) AS n FROM pc", "joints"))
 def metric_summary(spark, sf_dir):
-    m = _errors(spark, sf_dir).groupBy("clip").agg((F.avg("d") * 1000).alias("m"))
+    m = stored(_errors(spark, sf_dir).groupBy("clip").agg((F.avg("d") * 1000).alias("m")))
+    median = quantiles(m, [], "m", {"median": 0.5})  # one row
     r = lambda c: F.round(c, 3) + 0.0
-    return m.agg(r(F.avg("m")).alias("mean"), r(F.percentile("m", 0.5)).alias("median"), r(F.stddev_pop("m")).alias("std"), r(F.min("m")).alias("least"), r(F.max("m")).alias("most"), F.count(F.lit(1)).alias("n"))
+    rest = m.agg(r(F.avg("m")).alias("mean"), r(F.stddev_pop("m")).alias("std"), r(F.min("m")).alias("least"), r(F.max("m")).alias("most"), F.count(F.lit(1)).alias("n"))
+    return rest.join(F.broadcast(median.select(r(F.col("median")).alias("median"))), how="left").select("mean", "median", "std", "least", "most", "n")
 
 
 @query(views.sql(f"{_ER} SELECT frame, round(avg(d), 4) + 0.0 AS d, round(sqrt(avg(d * d)) * 100, 4) + 0.0 AS rmse FROM er GROUP BY frame", "joints"))

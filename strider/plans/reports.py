@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.windows import before, ranked
+from ..operators.quantiles import quantiles
 from . import views
 from .catalog import query
 
@@ -33,7 +34,9 @@ def worker_summary(spark, sf_dir):
 @query(views.sql("SELECT worker, round(avg(time), 4) + 0.0 AS mean, round(quantile_cont(time, 0.5), 4) + 0.0 AS median, round(sum(time), 2) + 0.0 AS total, round(60 * count(*) / sum(time), 4) + 0.0 AS per_minute FROM results WHERE status = 'valid' GROUP BY worker", "results"))
 def time_stats(spark, sf_dir):
     v = views.results(spark, sf_dir).where("status = 'valid'")
-    return v.groupBy("worker").agg(R(F.avg("time")).alias("mean"), R(F.percentile("time", 0.5)).alias("median"), (F.round(F.sum("time"), 2) + 0.0).alias("total"), R(60 * F.count(F.lit(1)) / F.sum("time")).alias("per_minute"))
+    median = quantiles(v, ["worker"], "time", {"median": 0.5}).select("worker", R("median").alias("median"))
+    rest = v.groupBy("worker").agg(R(F.avg("time")).alias("mean"), (F.round(F.sum("time"), 2) + 0.0).alias("total"), R(60 * F.count(F.lit(1)) / F.sum("time")).alias("per_minute"))
+    return rest.join(median, "worker").select("worker", "mean", "median", "total", "per_minute")
 
 
 @query(views.sql("+r AS (SELECT id, status, row_number() OVER (ORDER BY id) AS rn FROM results), c AS (SELECT rn, count(*) FILTER (status = 'valid') OVER (ORDER BY rn) AS valid, count(*) FILTER (status = 'error') OVER (ORDER BY rn) AS error FROM r) SELECT rn, valid, error FROM c WHERE rn % 100 = 0", "results"))

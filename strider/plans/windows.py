@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import windows
+from ..operators.quantiles import quantiles
+from ..operators.stored import stored
 from . import views
 from .catalog import query
 
@@ -115,8 +117,8 @@ def rolling_join(spark, sf_dir):
 def _moved(spark, sf_dir):
     """The series with each frame's value before, by one window, and for each clip whether its motion is in the upper quarter."""
     s = views.series(spark, sf_dir).withColumn("before", F.lag("signal").over(Window.partitionBy("clip").orderBy("frame")))
-    moved = s.groupBy("clip").agg(F.sum(F.abs(F.col("signal") - F.col("before"))).alias("motion"))
-    high = moved.agg(F.percentile("motion", 0.75).alias("p75"))
+    moved = stored(s.groupBy("clip").agg(F.sum(F.abs(F.col("signal") - F.col("before"))).alias("motion")))
+    high = quantiles(moved, [], "motion", {"p75": 0.75})
     return s, moved.join(F.broadcast(high)).select("clip", (F.col("motion") >= F.col("p75")).alias("high"))
 
 
@@ -148,7 +150,8 @@ def rolling_rmse(spark, sf_dir):
 @query(views.sql(f"{_ERR}, c AS (SELECT clip, step, method, sqrt(avg(sq)) AS rmse FROM er GROUP BY clip, step, method) SELECT step, method, round(quantile_cont(rmse, 0.5), 3) + 0.0 AS median, round(quantile_cont(rmse, 0.25), 3) + 0.0 AS p25, round(quantile_cont(rmse, 0.75), 3) + 0.0 AS p75 FROM c GROUP BY step, method", "series"))
 def rmse_distribution(spark, sf_dir):
     c = _errors(spark, sf_dir).groupBy("clip", "step", "method").agg(F.sqrt(F.avg("sq")).alias("rmse"))
-    return c.groupBy("step", "method").agg(*((F.round(F.percentile("rmse", q), 3) + 0.0).alias(n) for q, n in ((0.5, "median"), (0.25, "p25"), (0.75, "p75"))))
+    q = quantiles(c, ["step", "method"], "rmse", {"median": 0.5, "p25": 0.25, "p75": 0.75})
+    return q.select("step", "method", *((F.round(n, 3) + 0.0).alias(n) for n in ("median", "p25", "p75")))
 
 
 @query(views.sql(f"{_ERR} SELECT clip FROM hi WHERE high", "series"))
