@@ -83,7 +83,7 @@ class WordEncoder:
         if self.held > self.most:
             self.known, self.held = {"": b""}, 0
         known = self.known
-        new = {w: self.pieces(w) for w in {w for x in words for w in x if w not in known}}
+        new = {w: self.pieces(w) for w in set().union(*words).difference(known)}
         whole = list({p for w, cut in new.items() for p in cut or (w,) if p not in known})
         for w, e in zip(whole, self.library.encode_batch_fast(whole, add_special_tokens=False)):
             self._keep(w, struct.pack(f"<{len(e.ids)}I", *e.ids))
