@@ -290,10 +290,12 @@ def segment_results(rows: DataFrame) -> tuple[DataFrame, DataFrame, tuple[DataFr
     each = of_a.join(of_b.select("key", "other"), "key").join(rows.select("key", "segment", "n", size("a").alias("n_a"), size("b").alias("n_b")), "key")
     with _dealt_by_key(rows.sparkSession):
         found = save(each.select("segment", "n", "n_a", "n_b", size(F.split("text", ";")).alias("n_groups"), F.array_join(texts, ";").alias("groups"), "own", "link"), "groups")
+    release(rows.sparkSession)
     pairs = found.select("segment", "n", F.explode(F.arrays_zip("own", "link")).alias("x")).select("segment", "n", F.col("x.own").alias("a_id"), F.col("x.link").alias("b_id"))
     counts = save(pair_counts(pairs), "pairs")
     sums = pairs.join(counts, ["a_id", "b_id"]).groupBy("segment").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    return found.drop("n", "own", "link"), sums, (found, counts)
+    sums = save(sums, "sums")
+    return found.drop("n", "own", "link"), sums, (found, counts, sums)
 
 
 def _packed(known: DataFrame) -> DataFrame:
