@@ -38,7 +38,7 @@ import os
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,8 @@ AT_ONCE = 1 << 14
 PACKED = 1 << 18
 #: Segments whose tokens are dealt to one task.
 KEYS = 100_000
+#: Token rows are made, moved and grouped for this share of the segments at a time, which bounds the shuffle files on disk.
+WAVES = 4
 #: A single space between two characters that neither Python nor older Unicode takes for white space.
 CUT = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
 SPACE = "▁"
@@ -174,23 +176,28 @@ def cut(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_
 
 
 def encoded(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """key, segment, n (over all parts), a, b (arrays of ids with lengths, see SHIFT) of the distinct segments, stored."""
+    """key, wave, segment, n (over all parts), a, b (arrays of ids with lengths, see SHIFT) of the distinct segments, stored.
+
+    A task's segments are of one wave, so a wave's rows are whole files and the scan skips the others.
+    """
 
     def lists(ids: list[list[int]], of: dict[int, bytes]) -> pa.ListArray:
         flat = [i << SHIFT | len(of[i]) for x in ids for i in x]
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat, pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, key = _pair(path_a, path_b), TaskContext.get().partitionId() << 40
+        pair, task = _pair(path_a, path_b), TaskContext.get().partitionId()
+        key = task << 40
         for b in batches:
             for at in range(0, b.num_rows, AT_ONCE):
                 some = b.slice(at, AT_ONCE)
                 one, two = zip(*pair.encode(some.column(0).to_pylist()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + len(one))), *some.columns, lists(one, pair.bytes_a), lists(two, pair.bytes_b)], ["key", "segment", "n", "a", "b"])
+                wave = pa.array(np.full(len(one), task % WAVES, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + len(one))), wave, *some.columns, lists(one, pair.bytes_a), lists(two, pair.bytes_b)], ["key", "wave", "segment", "n", "a", "b"])
                 key += len(one)
 
     distinct = segments.groupBy("segment").agg(F.sum("n").alias("n"))
-    return save(distinct.mapInArrow(run, "key long, segment string, n long, a array<bigint>, b array<bigint>"), "encoded")
+    return save(distinct.mapInArrow(run, "key long, wave int, segment string, n long, a array<bigint>, b array<bigint>"), "encoded")
 
 
 def tokens(rows: DataFrame, side: str, keys: list[str]) -> DataFrame:
@@ -279,23 +286,34 @@ def pair_counts(found: DataFrame) -> DataFrame:
     return counts.join(most, "b_id").select("a_id", "b_id", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
-def segment_results(rows: DataFrame) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame]]:
-    """Of encoded segments: (segment, n_a, n_b, n_groups, groups), (segment, n_links, n_best, count_sum), and the tables behind them."""
-    n = max(parts(rows.sparkSession), -(-rows.count() // KEYS))
-    dealt = rows.repartition(n, "key")
+def _groups_of(rows: DataFrame, many: int) -> DataFrame:
+    """segment, n, n_a, n_b, n_groups, groups, own, link (the linked ids) of `many` encoded segments."""
+    dealt = rows.repartition(max(parts(rows.sparkSession), -(-many // KEYS)), "key")
     a, b = tokens(dealt, "a", ["key"]), tokens(dealt, "b", ["key"])
-    of_a, of_b = _by_key(grouped(a, b, ["key"]), "text"), _by_key(grouped(b, a, ["key"]), "other")
+    of_a, of_b = _by_key(grouped(a, b, ["key"]), "text"), _by_key(grouped(b, a, ["key"]), "other").select("key", "other")
     size = lambda c: F.size(c).cast("long")
     texts = F.zip_with(F.split("text", ";"), F.split("other", ";"), lambda x, y: F.concat(x, F.lit("|"), y))
-    each = of_a.join(of_b.select("key", "other"), "key").join(rows.select("key", "segment", "n", size("a").alias("n_a"), size("b").alias("n_b")), "key")
-    with _dealt_by_key(rows.sparkSession):
-        found = save(each.select("segment", "n", "n_a", "n_b", size(F.split("text", ";")).alias("n_groups"), F.array_join(texts, ";").alias("groups"), "own", "link"), "groups")
-    release(rows.sparkSession)
+    each = of_a.join(of_b, "key").join(rows.select("key", "segment", "n", size("a").alias("n_a"), size("b").alias("n_b")), "key")
+    return each.select("segment", "n", "n_a", "n_b", size(F.split("text", ";")).alias("n_groups"), F.array_join(texts, ";").alias("groups"), "own", "link")
+
+
+def segment_results(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Of encoded segments: (segment, n_a, n_b, n_groups, groups), (segment, n_links, n_best, count_sum), and the tables behind them.
+
+    `rows`, a table of save(), is deleted once its groups are stored.
+    """
+    sizes, waves = dict(rows.groupBy("wave").count().collect()), []  # at most WAVES rows
+    for w, many in sorted((sizes or {0: 0}).items()):
+        with _dealt_by_key(rows.sparkSession):
+            waves.append(save(_groups_of(rows.where(F.col("wave") == w), many), "groups"))
+        release(rows.sparkSession)
+    forget(rows)
+    found = reduce(DataFrame.unionByName, waves)
     pairs = found.select("segment", "n", F.explode(F.arrays_zip("own", "link")).alias("x")).select("segment", "n", F.col("x.own").alias("a_id"), F.col("x.link").alias("b_id"))
     counts = save(pair_counts(pairs), "pairs")
     sums = pairs.join(counts, ["a_id", "b_id"]).groupBy("segment").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
     sums = save(sums, "sums")
-    return found.drop("n", "own", "link"), sums, (found, counts, sums)
+    return found.drop("n", "own", "link"), sums, [*waves, counts, sums]
 
 
 def _packed(known: DataFrame) -> DataFrame:
@@ -333,7 +351,6 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
     rows = encoded(segments, path_a, path_b)
     release(docs.sparkSession)
     results, sums, behind = segment_results(rows)
-    forget(rows)
     release(docs.sparkSession)
     known = segments.join(results, "segment").join(sums, "segment").select(F.col("part").alias("of_part"), "number", *SUMS, "groups")
     blocks = save(_packed(known), "blocks")
