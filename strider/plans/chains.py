@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import kinematics as kin
 from ..operators import lifting, models, windows
 from ..operators.ranks import indexed
-from ..sources import skeletons
+from ..operators.stored import shared_folder
+from ..sources import shards, skeletons
 from . import views
 from .catalog import query
 
@@ -92,3 +95,21 @@ def shuffled_index(spark, sf_dir):
     key = F.md5(F.concat_ws("-", F.lit("42"), "clip", "start").cast("binary"))
     samples = indexed(windows.training(n).withColumn("key", key), ["key", "clip", "start"], "position")
     return samples.join(clips.select("clip", "clip_idx"), "clip").select("position", "clip_idx", "clip", "start")
+
+
+@query(
+    views.sql(
+        """+p AS (SELECT clip, frame, 'class_' || clip % 12 AS class, row_number() OVER (ORDER BY 'class_' || clip % 12, clip, frame) - 1 AS place, count(*) OVER () AS n FROM frames)
+SELECT 'train-' || lpad((place // 250)::VARCHAR, 5, '0') || '-of-' || lpad(((n + 249) // 250)::VARCHAR, 5, '0') || '.parquet' AS file, count(*) AS n, min(class) AS first_class, max(class) AS last_class, sum(clip)::BIGINT AS clips, sum(frame)::BIGINT AS frames
+FROM p GROUP BY n, place // 250""",
+        "frames",
+    )
+)
+def named_shards(spark, sf_dir):
+    """Frames written as named shards of 250 rows in order of class and clip, and what is read back from each file."""
+    name = F.concat(F.lit("class_"), (F.col("clip") % 12).cast("string"))
+    f = views.frames(spark, sf_dir).select(name.alias("class"), "clip", "frame")
+    path = f"{shared_folder(spark)}/named-shards-{uuid.uuid4().hex}"
+    shards.write_named(f, path, "train", ["class", "clip", "frame"], bytes_each=250, bytes_row=1)
+    back = spark.read.schema(f.schema).parquet(path).groupBy(F.col("_metadata.file_name").alias("file"))
+    return back.agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("first_class"), F.max("class").alias("last_class"), F.sum("clip").alias("clips"), F.sum("frame").alias("frames"))
