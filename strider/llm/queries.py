@@ -57,8 +57,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _license_sql() -> str:
     """The same scan over word strings instead of hashes."""
     k, drift, coverage = licenses.K, licenses.DRIFT, licenses.COVERAGE
-    grams = [(label, len(w), q, " ".join(w[q : q + k])) for label, text in licenses.TEMPLATES.items() for w in [text.split()] for q in range(len(w) - k + 1)]
-    templates = ", ".join(f"('{a}', {n}, {q}, '{g}')" for a, n, q, g in grams)
+    templates = ", ".join(f"('{a}', {n}, {q}, {against}, '{g}')" for a, n, q, against, g in licenses.template_grams(licenses.TEMPLATES, k))
     bases = ", ".join(f"('{label}', '{phrase}', {len(phrase.split())})" for phrase, label in licenses.BASE.items())
     between = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
@@ -70,16 +69,16 @@ WITH d AS (
   SELECT r, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list_sort(list(DISTINCT label)) AS base
   FROM p JOIN (VALUES {bases}) b(label, phrase, n) ON array_to_string(w[i : i + n - 1], ' ') = phrase GROUP BY r
 ), hits AS (
-  SELECT r, label, size, q, i AS p, i - q AS line
-  FROM p JOIN (VALUES {templates}) t(label, size, q, gram) ON array_to_string(w[i : i + {k - 1}], ' ') = gram
+  SELECT r, label, size, q, against, i AS p, i - q AS line
+  FROM p JOIN (VALUES {templates}) t(label, size, q, against, gram) ON array_to_string(w[i : i + {k - 1}], ' ') = gram
 ), steps AS (
   SELECT *, CASE WHEN line - lag(line) OVER (PARTITION BY r, label ORDER BY line) <= {drift} THEN 0 ELSE 1 END AS new FROM hits
 ), groups AS (
   SELECT *, sum(new) OVER (PARTITION BY r, label ORDER BY line) AS span FROM steps
 ), spans AS (
-  SELECT r, label, len(list_distinct(flatten(list(range(q, q + {k}))))) / max(size)::DOUBLE AS share, max(p) - min(p) + {k} <= 2 * max(size) AS wide FROM groups GROUP BY r, label, span
+  SELECT r, label, coalesce(len(list_distinct(flatten(list(range(q, q + {k})) FILTER (NOT against)))), 0) / max(size)::DOUBLE AS share, max(p) - min(p) + {k} <= 2 * max(size) AND NOT bool_or(against) AS fits FROM groups GROUP BY r, label, span
 ), per AS (
-  SELECT r, max(share) AS share, list(DISTINCT label) FILTER (share >= {coverage} AND wide) AS more, count(*) FILTER (share >= {coverage} AND wide) AS n_spans FROM spans GROUP BY r
+  SELECT r, max(share) AS share, list(DISTINCT label) FILTER (share >= {coverage} AND fits) AS more, count(*) FILTER (share >= {coverage} AND fits) AS n_spans FROM spans GROUP BY r
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(array_to_string(base, ','), '') AS base_labels,

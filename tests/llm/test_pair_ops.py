@@ -310,3 +310,20 @@ def test_shards_of_odd_rows(spark):
 
 def test_text_crc_of_null_is_that_of_nothing(spark):
     assert sharding.shard(frame(spark, [(1, None)]), 1).select(F.max("text_crc32")).first()[0] == 0
+
+
+def test_words_of_other_licenses_speak_against_a_template(spark):
+    header = licenses.TEMPLATES["gpl-header"]
+    texts = {
+        1: "Licensed under the GNU Affero General Public License version 3",
+        2: "Licensed under the GNU Lesser General Public License, version 3.",
+        3: "Licensed under the GNU General Public License version 3",
+        4: header.replace("gnu general", "gnu lesser general"),
+        5: header.replace("gnu general", "gnu affero general"),
+        6: header,
+        7: licenses.TEMPLATES["gpl-3.0"] + " or else it is " + licenses.TEMPLATES["agpl-3.0"],
+        8: "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        9: header.replace("gnu general", "gnu library general"),
+    }
+    found = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert found == {1: "agpl-3.0", 2: "lgpl-3.0", 3: "gpl,gpl-3.0", 4: "lgpl-header", 5: "agpl-header", 6: "gpl,gpl-header", 7: "agpl-3.0,gpl,gpl-3.0", 8: "cc0-1.0", 9: ""}
