@@ -12,14 +12,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Numbers that a model gets at once, if a row has no more.
+AT_ONCE = 1 << 19
+
+
+def _cut(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch with about AT_ONCE numbers each."""
+    rows = max(1, AT_ONCE * batch.num_rows // max(1, len(batch.column(batch.schema.get_field_index(column)).flatten())))
+    return (batch.slice(k, rows) for k in range(0, max(1, batch.num_rows), rows))
+
+
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    """Lists of one length as rows, without a Python object for each number."""
+    sizes = np.unique(lists.value_lengths().to_numpy(zero_copy_only=False))
+    if lists.null_count or len(sizes) != 1:
+        return np.array(lists.to_pylist(), float)
+    return np.array(lists.flatten().to_numpy(zero_copy_only=False), float).reshape(len(lists), int(sizes[0]))
+
+
 def predict(df: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], column: str, out: str) -> DataFrame:
     """Adds `out` by a model that `load` makes once for each partition; arrays of doubles in and out."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema if f.name != out)}, `{out}` array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
-        for batch in batches:
-            x = np.array(batch.column(batch.schema.get_field_index(column)).to_pylist(), float)
+        for batch in (some for b in batches for some in _cut(b, column)):
+            x = _matrix(batch.column(batch.schema.get_field_index(column)))
             y = model(x) if len(x) else x
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(y), pa.list_(pa.float64()))], names=[*batch.schema.names, out])
 

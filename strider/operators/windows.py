@@ -39,12 +39,16 @@ def fixed(lengths: DataFrame, target: int) -> DataFrame:
 def overlapping(lengths: DataFrame, target: int, hop: int | None = None, more: Sequence[str] = ()) -> DataFrame:
     """clip, w, start, length, `more`: full windows every `hop`, and a tail of what is left from the next start on."""
     hop = hop or target // 2
-    full = F.when(F.col("n") <= target, 0).otherwise(F.floor((F.col("n") - target) / hop) + 1)
-    count = F.when(F.col("n") <= target, 1).otherwise(full + (full * hop < F.col("n")).cast("long"))
-    rows = lengths.where("n > 0").select("clip", "n", *more, F.explode(upto(count)).alias("w"))
+    rows = lengths.where("n > 0").select("clip", "n", *more, F.explode(upto(overlaps(F.col("n"), target, hop))).alias("w"))
     return rows.select("clip", "w", (F.col("w") * hop).alias("start"), F.least(F.lit(target), F.col("n") - F.col("w") * hop).cast("long").alias("length"), *more)
 
 
+def overlaps(n: Column, target: int, hop: int) -> Column:
+    """How many windows overlapping() cuts from n frames."""
+    full = F.when(n <= target, 0).otherwise(F.floor((n - target) / hop) + 1)
+    return F.when(n <= target, 1).otherwise(full + (full * hop < n).cast("long"))
+
+
 def positions(wins: DataFrame, target: int, even: bool = False) -> DataFrame:
     """clip, w, pos, src; windows shorter than the target are stretched (or, if `even`, resampled without the end)."""
     rows = wins.select("*", F.explode(upto(F.lit(target))).alias("pos"))

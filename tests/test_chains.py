@@ -69,6 +69,22 @@ def test_lifting_averages_stretched_and_overlapping_windows(spark):
     assert max(seen) > 2
 
 
+def test_windows_of_a_long_clip_are_cut_from_few_frames(spark):
+    """No row that leads to the windows holds more than the frames of a span, however long the clip; windows apart from each other leave frames out."""
+    df = spark.range(3000).selectExpr("7L as clip", "id as frame", "array(double(id), 1d) as pose").unionByName(spark.range(5).selectExpr("8L as clip", "id as frame", "array(double(id), 1d) as pose"))
+    for hop in (4, 8, 11):
+        got = {(r["clip"], r["w"]): (r["src"], r["x"]) for r in lifting.clip_windows(df, 8, hop).collect()}
+        pos = windows.positions(windows.overlapping(df.groupBy("clip").agg(F.count(F.lit(1)).alias("n")), 8, hop), 8).orderBy("clip", "w", "pos").collect()
+        want = {}
+        for r in pos:
+            want.setdefault((r["clip"], r["w"]), []).append(r["src"])
+        assert {k: v[0] for k, v in got.items()} == want
+        assert all(x[::2] == [float(s) for s in src] for src, x in got.values())
+    wins = lifting.clip_windows(df, 8, 4)
+    gathered = [line for line in wins._jdf.queryExecution().analyzed().toString().splitlines() if "collect_list" in line]
+    assert len(gathered) == 1 and all("Aggregate [clip" in line and "span" in line.split("]")[0] for line in gathered)
+
+
 TEXT = "3\n2\nbody\n2\n1 2 3 0 1\n4 5 6 0 1\nbody\n2\n7 8 9 0 2\n1 1 1 0 0\n0\n1\nbody\n1\n9 9 9 2"
 
 
