@@ -34,9 +34,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import pyarrow as pa
 import regex
@@ -61,11 +63,22 @@ _NEWER = (
     "\U0001dfcd-\U0001dfff \U0001e6c0-\U0001e6de \U0001e6e0-\U0001e6e2 \U0001e6e4-\U0001e6e5 \U0001e6e7-\U0001e6ed \U0001e6f0-\U0001e6f4 \U0001e6fe-\U0001e6ff "
     "\U0002b73a-\U0002b73f \U0002b81e \U0002cea2-\U0002cead \U000323b0-\U00033479 \U0003d000-\U0003fc3f"
 )
-_OTHERS = regex.compile(f"[{_NEWER.replace(' ', '')}]")
+_OTHERS = re.compile(f"[{_NEWER.replace(' ', '')}]")
 #: About what an entry of the table costs beside its bytes.
 _ENTRY = 220
 
 
+class _Known(dict):
+    """Tokens of matches, made where they are missing."""
+
+    def __init__(self, make: Callable[[str], Sequence[int]]):
+        super().__init__()
+        self._make = make
+
+    def __missing__(self, match: str) -> Sequence[int]:
+        return self._make(match)
+
+
 class BytePairCodec:
     """Tree encoder and decoder over a rank file and a split pattern."""
 
@@ -73,13 +86,15 @@ class BytePairCodec:
         self._ranks, self._leaf, self._memory = ranks, max(1, leaf), memory
         self._split = regex.compile(pattern).findall
         self._bytes = {i: b for b, i in ranks.items()}
-        self._known: dict[str, list[int]] = {}
-        self._old: dict[str, list[int]] = {}
+        self._known, self._old = _Known(self._match), _Known(self._match)
         self._used, self._none = 0, max(ranks.values(), default=0) + 1
         # a token's number is its rank; two tokens merge if what they make together is a token
         self._shift = self._none.bit_length()
         self._first = [ranks.get(bytes([b]), self._none) for b in range(256)]
         self._pairs = {ranks[t[:k]] << self._shift | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        # the same for two bytes, by their numbers
+        self._two = [self._pairs.get(a << self._shift | b, self._none) for a in self._first for b in self._first]
+        self._names = {i: str(i) for i in self._bytes}
 
     def encode(self, text: str) -> list[int]:
         # the pattern sees characters that are neither letters nor digits to the library as NUL, which is neither
@@ -88,6 +103,10 @@ class BytePairCodec:
             plain = text
         return (self._node if _NEXT.search(plain, 1) else self._flat)(text, plain, 0, len(text))
 
+    def names(self, ids: list[int]) -> str:
+        """Decimal ids, joined by one space."""
+        return " ".join(map(self._names.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= self._leaf:
             return b"".join(map(self._bytes.__getitem__, ids))
@@ -115,16 +134,14 @@ class BytePairCodec:
 
     def _flat(self, text: str, plain: str, lo: int, hi: int) -> list[int]:
         """Tokens of the pattern's matches, one after the other."""
-        out, known = [], self._known
-        for match in self._split(plain[lo:hi]):
-            if plain is not text:
-                match, lo = text[lo : lo + len(match)], lo + len(match)
-            ids = known.get(match)
-            out += self._match(match) if ids is None else ids
-        return out
-
-    def _match(self, match: str) -> list[int]:
-        ids = self._old.get(match)
+        matches = self._split(plain[lo:hi])
+        if plain is not text:
+            ends = accumulate(map(len, matches), initial=lo)
+            matches = [text[a:b] for a, b in pairwise(ends)]
+        return list(chain.from_iterable(map(self._known.__getitem__, matches)))
+
+    def _match(self, match: str) -> Sequence[int]:
+        ids = self._known.get(match) or self._old.get(match)
         if ids is None:
             raw = match.encode()
             whole = self._ranks.get(raw)
@@ -132,24 +149,23 @@ class BytePairCodec:
         if len(match) <= _SCANNED:
             self._used += _ENTRY + 2 * len(match) + 8 * len(ids)
             if 2 * self._used > self._memory:
-                self._old, self._known, self._used = self._known, {}, 0
-            self._known[match] = ids
+                self._old, self._known, self._used = self._known, _Known(self._match), 0
+            self._known[match] = ids = tuple(ids)  # of numbers, so the garbage collector leaves it alone
         return ids
 
     def _scanned(self, raw: bytes) -> list[int]:
         """Tokens of a short match: the least of all pairs is looked for again after each merge."""
-        get, none, shift = self._pairs.get, self._none, self._shift
-        ids = [self._first[b] for b in raw]
-        pairs = [get(a << shift | b, none) for a, b in zip(ids, ids[1:])]
-        while pairs and (least := min(pairs)) != none:
+        get, none, shift, two = self._pairs.get, self._none, self._shift, self._two
+        # a number that no token has stands at either end
+        ids = [none, *map(self._first.__getitem__, raw), none]
+        pairs = [none, *[two[a << 8 | b] for a, b in zip(raw, raw[1:])], none]
+        while (least := min(pairs)) != none:
             k = pairs.index(least)
             ids[k] = least
             del ids[k + 1], pairs[k]
-            if k:
-                pairs[k - 1] = get(ids[k - 1] << shift | least, none)
-            if k < len(pairs):
-                pairs[k] = get(least << shift | ids[k + 1], none)
-        return ids
+            pairs[k - 1] = get(ids[k - 1] << shift | least, none)
+            pairs[k] = get(least << shift | ids[k + 1], none)
+        return ids[1:-1]
 
     def _heaped(self, raw: bytes) -> list[int]:
         """Tokens of a long match, the same: pairs wait in a heap over a linked list of parts."""
@@ -241,6 +257,6 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     def one(text: str) -> tuple[int, str, str]:
         own = codec(path, pattern, leaf)
         ids = own.encode(text)
-        return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
+        return len(ids), hashlib.sha256(own.names(ids).encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
 
     return _over_texts(df, id_col, text_col, one, "n_tokens long, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.string(), pa.string()], ["n_tokens", "ids_sha256", "decoded_sha256"])
