@@ -15,9 +15,10 @@ to spaces is checked; if it does not, segments are whole texts.
 
 **Documents.** Texts are taken together in parts of about PART_BYTES; a document is kept
 as the numbers of its segments in its part. Sums and groups of segments are joined to the
-parts' lists and come back to documents by a cogrouped map over the part's number, whose
+parts by the numbers that a segment keeps of all the parts that have it, one for each, and
+come back to documents by a cogrouped map over the part's number, whose
 two sides are bounded by the part's bytes (or one text's). What is moved is a number for
-each place of a segment, never a token.
+each place of a segment, never a token, and a segment's text only until it has a key.
 
 **Counts.** A pair's count is the number of links of the whole corpus that hold it: sums
 over segments times occurrences.
@@ -143,7 +144,7 @@ def _part(pair: Pair, texts: list[str]) -> tuple[list[bytes], list[str], np.ndar
 
 
 def cut(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(documents, segments), stored in the shared folder.
+    """(documents, segments), stored in the shared folder, each in a table of its own.
 
     documents: part, doc_id, places (numbers of segments as little-endian 32-bit integers, in a zstd frame). segments: part, number, n,
     segment, for those that occur in a text with tokens.
@@ -172,11 +173,32 @@ def cut(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_
             yield from rows(part, held)
 
     both = save(docs.select(F.col(id_col).cast("long"), text_column(text_col)).mapInArrow(run, "part long, doc_id long, places binary, number int, n long, segment string"), "segments")
-    return both.where("places is not null").select("part", "doc_id", "places"), both.where("segment is not null").select("part", "number", "n", "segment")
+    documents = save(both.where("places is not null").select("part", "doc_id", "places"), "places")
+    segments = both.where("segment is not null").select("part", "number", "n", "segment")
+    segments.saved_path = both.saved_path
+    return documents, segments
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by the first column, and where each of its values begins; all rows of a value come together."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        t = t.combine_chunks()
+        if t.num_rows < 2:
+            held = t
+            continue
+        value = t.column(0)
+        begins = np.flatnonzero(np.append(True, pc.not_equal(value.slice(1), value.slice(0, t.num_rows - 1)).to_numpy()))
+        if len(begins) > 1:
+            yield t.slice(0, begins[-1]), begins[:-1]
+        held = t.slice(begins[-1])
+    if held is not None and held.num_rows:
+        yield held, np.zeros(1, np.int64)
 
 
 def encoded(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """key, wave, segment, n (over all parts), a, b (arrays of ids with lengths, see SHIFT) of the distinct segments, stored.
+    """key, wave, n (over all parts), of_part and number (arrays: the parts that have the segment and its number there), a, b (arrays of ids with lengths, see SHIFT) of the distinct segments, stored.
 
     A task's segments are of one wave, so a wave's rows are whole files and the scan skips the others.
     """
@@ -188,16 +210,18 @@ def encoded(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, task = _pair(path_a, path_b), TaskContext.get().partitionId()
         key = task << 40
-        for b in batches:
-            for at in range(0, b.num_rows, AT_ONCE):
-                some = b.slice(at, AT_ONCE)
-                one, two = zip(*pair.encode(some.column(0).to_pylist()))
-                wave = pa.array(np.full(len(one), task % WAVES, np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + len(one))), wave, *some.columns, lists(one, pair.bytes_a), lists(two, pair.bytes_b)], ["key", "wave", "segment", "n", "a", "b"])
-                key += len(one)
+        for t, begins in _runs(batches):
+            t = t.combine_chunks()
+            segment, part, number, n = (t.column(k).chunk(0) for k in range(4))
+            one, two = zip(*pair.encode(segment.take(pa.array(begins)).to_pylist()))
+            ends = pa.array(np.append(begins, t.num_rows), pa.int32())
+            of = [pa.ListArray.from_arrays(ends, c) for c in (part, number)]
+            wave, sums = pa.array(np.full(len(one), task % WAVES, np.int32)), pa.array(np.add.reduceat(n.to_numpy(), begins))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + len(one))), wave, sums, *of, lists(one, pair.bytes_a), lists(two, pair.bytes_b)], ["key", "wave", "n", "of_part", "number", "a", "b"])
+            key += len(one)
 
-    distinct = segments.groupBy("segment").agg(F.sum("n").alias("n"))
-    return save(distinct.mapInArrow(run, "key long, wave int, segment string, n long, a array<bigint>, b array<bigint>"), "encoded")
+    alike = segments.select("segment", "part", "number", "n").repartition("segment").sortWithinPartitions("segment")
+    return save(alike.mapInArrow(run, "key long, wave int, n long, of_part array<bigint>, number array<int>, a array<bigint>, b array<bigint>"), "encoded")
 
 
 def tokens(rows: DataFrame, side: str, keys: list[str]) -> DataFrame:
@@ -287,33 +311,44 @@ def pair_counts(found: DataFrame) -> DataFrame:
 
 
 def _groups_of(rows: DataFrame, many: int) -> DataFrame:
-    """segment, n, n_a, n_b, n_groups, groups, own, link (the linked ids) of `many` encoded segments."""
+    """key, n, of_part, number, n_a, n_b, n_groups, groups, own, link (the linked ids) of `many` encoded segments."""
     dealt = rows.repartition(max(parts(rows.sparkSession), -(-many // KEYS)), "key")
     a, b = tokens(dealt, "a", ["key"]), tokens(dealt, "b", ["key"])
     of_a, of_b = _by_key(grouped(a, b, ["key"]), "text"), _by_key(grouped(b, a, ["key"]), "other").select("key", "other")
     size = lambda c: F.size(c).cast("long")
     texts = F.zip_with(F.split("text", ";"), F.split("other", ";"), lambda x, y: F.concat(x, F.lit("|"), y))
-    each = of_a.join(of_b, "key").join(rows.select("key", "segment", "n", size("a").alias("n_a"), size("b").alias("n_b")), "key")
-    return each.select("segment", "n", "n_a", "n_b", size(F.split("text", ";")).alias("n_groups"), F.array_join(texts, ";").alias("groups"), "own", "link")
+    each = of_a.join(of_b, "key").join(rows.select("key", "n", "of_part", "number", size("a").alias("n_a"), size("b").alias("n_b")), "key")
+    return each.select("key", "n", "of_part", "number", "n_a", "n_b", size(F.split("text", ";")).alias("n_groups"), F.array_join(texts, ";").alias("groups"), "own", "link")
 
 
-def segment_results(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Of encoded segments: (segment, n_a, n_b, n_groups, groups), (segment, n_links, n_best, count_sum), and the tables behind them.
+def segment_results(rows: DataFrame) -> list[DataFrame]:
+    """Blocks of encoded segments' results by part, see _packed(), in stored tables, one for each wave.
 
-    `rows`, a table of save(), is deleted once its groups are stored.
+    `rows`, a table of save(), is deleted once its groups are stored; a wave's groups once its blocks are.
     """
-    sizes, waves = dict(rows.groupBy("wave").count().collect()), []  # at most WAVES rows
+    spark = rows.sparkSession
+    sizes, waves = dict(rows.groupBy("wave").count().collect()), {}  # at most WAVES rows
     for w, many in sorted((sizes or {0: 0}).items()):
-        with _dealt_by_key(rows.sparkSession):
-            waves.append(save(_groups_of(rows.where(F.col("wave") == w), many), "groups"))
-        release(rows.sparkSession)
+        with _dealt_by_key(spark):
+            waves[w] = save(_groups_of(rows.where(F.col("wave") == w), many), "groups")
+        release(spark)
     forget(rows)
-    found = reduce(DataFrame.unionByName, waves)
-    pairs = found.select("segment", "n", F.explode(F.arrays_zip("own", "link")).alias("x")).select("segment", "n", F.col("x.own").alias("a_id"), F.col("x.link").alias("b_id"))
+    pairs = reduce(DataFrame.unionByName, waves.values()).select("key", "n", F.explode(F.arrays_zip("own", "link")).alias("x")).select("key", "n", F.col("x.own").alias("a_id"), F.col("x.link").alias("b_id"))
     counts = save(pair_counts(pairs), "pairs")
-    sums = pairs.join(counts, ["a_id", "b_id"]).groupBy("segment").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+    release(spark)
+    sums = pairs.join(counts, ["a_id", "b_id"]).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
     sums = save(sums, "sums")
-    return found.drop("n", "own", "link"), sums, [*waves, counts, sums]
+    forget(counts)
+    release(spark)
+    blocks = []
+    for w, found in waves.items():
+        known = found.drop("n", "own", "link").join(sums.where(F.pmod(F.shiftright("key", 40), F.lit(WAVES)) == w), "key")
+        known = known.withColumn("at", F.explode(F.arrays_zip("of_part", "number"))).select(F.col("at.of_part").alias("of_part"), F.col("at.number").alias("number"), *SUMS, "groups")
+        blocks.append(save(_packed(known), "blocks"))
+        forget(found)
+        release(spark)
+    forget(sums)
+    return blocks
 
 
 def _packed(known: DataFrame) -> DataFrame:
@@ -349,13 +384,9 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
     """ALIGNED: a row for each document; groups as `a1,a2|b1;a3|b2`, or with `digest` its SHA-256 in hex ('' without tokens)."""
     documents, segments = cut(docs, path_a, path_b, id_col, text_col, part_bytes)
     rows = encoded(segments, path_a, path_b)
+    forget(segments)
     release(docs.sparkSession)
-    results, sums, behind = segment_results(rows)
-    release(docs.sparkSession)
-    known = segments.join(results, "segment").join(sums, "segment").select(F.col("part").alias("of_part"), "number", *SUMS, "groups")
-    blocks = save(_packed(known), "blocks")
-    forget(*behind)
-    release(docs.sparkSession)
+    blocks = reduce(DataFrame.unionByName, segment_results(rows))
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
         own_blocks = [pa.ipc.open_stream(b).read_all() for b in right["block"].to_pylist()]

@@ -179,3 +179,19 @@ def test_dual_search_prunes_and_keeps_what_counts():
     scores = a.x @ c.x.T
     for i, j in zip(*np.nonzero((scores >= 50_000) & (scores <= 500_000))):
         assert ((u == i // 32) & (v == j // 32)).any()
+
+
+def test_segments_carry_their_places(spark):
+    """A segment of several parts is one row, whose parts and numbers lead back to all its occurrences; nothing else is stored of its text."""
+    docs = spark.createDataFrame([(k, f"same tokens {k % 7} same") for k in range(60)], "doc_id long, text string").repartition(3)
+    documents, segments = alignment.cut(docs, A, B, part_bytes=200)
+    want = order((r.part, r.number, r.n) for r in segments.collect())
+    rows = alignment.encoded(segments, A, B)
+    assert "segment" not in rows.columns and rows.count() == 9
+    found = rows.collect()
+    assert order((p, k) for r in found for p, k in zip(r.of_part, r.number)) == [x[:2] for x in want]
+    assert sum(r.n for r in found) == sum(x[2] for x in want) == 240 and max(len(r.of_part) for r in found) > 3
+    alignment.forget(segments)
+    assert documents.count() == 60
+    blocks = alignment.segment_results(rows)
+    assert sum(b.count() for b in blocks) > 0
