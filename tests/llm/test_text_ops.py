@@ -91,6 +91,19 @@ def test_tree_encoding_of_any_characters_equals_the_library():
         assert own.encode(t) == theirs.encode_ordinary(t)
 
 
+def test_new_matches_of_texts_are_merged_side_by_side(monkeypatch):
+    """Texts taken together have the library's tokens, and no short match is merged by itself, however small the steps."""
+    ranks, theirs = library()
+    rng, letters = random.Random(6), "abcdeéßñ漢😀"
+    some = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 30))) for _ in range(60)) for _ in range(40)] + [t or "" for t in ODD]
+    for steps in (1, 7, 4096):
+        own = bpe.BytePairCodec(ranks, P.PATTERN, 50)
+        monkeypatch.setattr(bpe, "SIDE_BY_SIDE", steps)
+        monkeypatch.setattr(own, "_scanned", None)
+        assert list(own.encode_all(some)) == [theirs.encode_ordinary(t) for t in some]
+    assert list(own.encode_all([])) == []
+
+
 def test_bpe_of_documents_equals_the_library(spark, sf_dir):
     _, theirs = library()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
