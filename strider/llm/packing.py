@@ -18,11 +18,14 @@ and the text, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -42,6 +45,10 @@ _ENTRY = 200
 
 #: ASCII marks that stand apart from a letter or digit beside them. An apostrophe may belong to what follows it.
 MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: Words of letters that normalisation leaves as they are but for their case, and that the pattern takes as one match.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Plain words that are encoded as one text.
+JOINED = 1000
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, part int, place long"
 
@@ -56,7 +63,8 @@ class WordEncoder:
     """A tokenizer that drops white space, so a text's ids are those of its words between spaces, one after another.
 
     Each distinct word goes through the library once, without the marks around it, which are words of their own where
-    a letter or digit stands beside them. Ids are little-endian unsigned 32-bit numbers.
+    a letter or digit stands beside them. Plain words go through it in lower case and many at once, past its normaliser
+    and its pattern, and are told apart by their last ids, which end a word. Ids are little-endian unsigned 32-bit numbers.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED_BYTES):
@@ -64,11 +72,26 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         self.library, self.known, self.held, self.most = Tokenizer.from_file(path), {"": b""}, 0, remembered
+        rules = json.loads(self.library.to_str())
+        rules |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        self.model, suffix = Tokenizer.from_str(json.dumps(rules | {"added_tokens": []})), rules["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(max(rules["model"]["vocab"].values()) + 1, bool)
+        self.ends[[i for t, i in rules["model"]["vocab"].items() if t.endswith(suffix)]] = True
 
     def _keep(self, word: str, ids: bytes) -> None:
         self.known[word] = ids
         self.held += len(word) + len(ids) + _ENTRY
 
+    def _keep_plain(self, words: list[str]) -> None:
+        some = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        for own, e in zip(some, self.model.encode_batch_fast([" ".join(x).lower() for x in some], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            raw, ends = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            for w, at, end in zip(own, [0, *ends], ends, strict=False):
+                self._keep(w, raw[at:end])
+            if len(ends) != len(own) or ends[-1] != len(raw):
+                raise AssertionError("a plain word without an id that ends it, or with two")
+
     @staticmethod
     def pieces(word: str) -> tuple[str, str, str] | None:
         """Marks, core and marks, if their ids follow one another; a special token's string stays whole."""
@@ -83,8 +106,11 @@ class WordEncoder:
         if self.held > self.most:
             self.known, self.held = {"": b""}, 0
         known = self.known
-        new = {w: self.pieces(w) for w in set().union(*words).difference(known)}
-        whole = list({p for w, cut in new.items() for p in cut or (w,) if p not in known})
+        new = {w: None if w.isalpha() else self.pieces(w) for w in set().union(*words).difference(known)}
+        lone = {p for w, cut in new.items() for p in cut or (w,) if p not in known}
+        plain = list(filter(PLAIN.fullmatch, lone))
+        self._keep_plain(plain)
+        whole = list(lone.difference(plain))
         for w, e in zip(whole, self.library.encode_batch_fast(whole, add_special_tokens=False)):
             self._keep(w, struct.pack(f"<{len(e.ids)}I", *e.ids))
         for w, cut in new.items():
